@@ -35,13 +35,12 @@ def natural_key_join(left: DataFrame, right: DataFrame, keys: list[str], row_key
         aggs.append(F.count("*").alias("n_matches"))
     # Group by the digest, not the texts: partial sums collapse copies before the shuffle.
     side = right.withColumn("_key", key_digest(keys)).groupBy("_key").agg(*aggs)
-    joined = lookup_join(left.withColumn("_key", key_digest(keys)), side, ["_key"], spread=row_key)
-    out = joined.select(
+    joined = lookup_join(left, side, keys, spread=row_key, digest="_key")
+    return joined.select(
         *left.columns,
         *[F.col(f"_first.{c}").alias(c) for c in new],
         *([F.coalesce("n_matches", F.lit(1)).alias("n_matches")] if fanout else []),
     )
-    return out
 
 
 def window_range_join(df: DataFrame, day: str, design: StudyDesign) -> DataFrame:

@@ -18,7 +18,8 @@ def quantile_cells(df: DataFrame, by: list[str], value: str, probs: list[float],
     """Counted values around each quantile, and counted gaps between them.
 
     A quantile sketch brackets each requested rank between two values. Rows inside a
-    bracket keep their value; rows outside only add to the count of the gap they lie in.
+    bracket keep their value; rows outside only add to the count of the gap they lie in,
+    of which the two end values stay known.
     What is left per group is a sliver of the data, and exact ranks follow from it.
     """
     slack = 3.0 / accuracy
@@ -39,9 +40,10 @@ def quantile_cells(df: DataFrame, by: list[str], value: str, probs: list[float],
             *by,
             inside.alias("_in"),
             F.when(inside, F.col("_v")).otherwise(F.coalesce(next_low, F.lit(float("inf")))).alias("_at"),
+            "_v",
         )
         .groupBy(*by, "_in", "_at")
-        .agg(F.count("*").alias("_c"))
+        .agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
 
 
@@ -54,9 +56,10 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     ranked = cells.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(group))
 
     def at_rank(rank: Column) -> Column:
-        # The inside cell that covers 0-based position `rank`.
-        hit = F.col("_in") & (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
-        return F.max(F.when(hit, F.col("_at")))
+        # Value at 0-based position `rank`; in a gap only the two ends are known and needed.
+        first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
+        value = F.when(F.col("_in") | (rank == first), F.col("_min")).when(rank == last, F.col("_max"))
+        return F.max(F.when((first <= rank) & (rank <= last), value))
 
     aggs = []
     for name, p in probs.items():
