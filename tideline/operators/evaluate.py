@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.numbers import half_even
+from tideline.operators.skew import small_side
 
 
 def label_union(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -23,9 +24,16 @@ def label_list(df: DataFrame, truth: str, predicted: str, most: int = 1000) -> l
 
 
 def _pairs(df: DataFrame, truth: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return df.groupBy(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
+    """Counts per (truth, predicted), the only pass over the rows.
+
+    They are few, so they are held as a local table and the predictions are computed once
+    for all figures; should labels be many after all, the counts stay a plan.
+    """
+    counts = df.groupBy(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
         F.count("*").alias("n")
     )
+    local = small_side(counts, 100_000)
+    return counts if local is None else local
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, labels: list[str]) -> DataFrame:
@@ -46,14 +54,17 @@ def class_figures(df: DataFrame, truth: str, predicted: str, labels: list[str],
 
     Rows of other labels still count as predictions and misses of the listed ones.
     """
-    pairs = _pairs(df, truth, predicted, by)
+    return _figures(_pairs(df, truth, predicted, by), labels, by)
+
+
+def _figures(pairs: DataFrame, labels: list[str], by: tuple[str, ...]) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(zero)
     sides = pairs.select(*by, F.explode(F.array(
         F.struct(F.col("truth").alias("label"), F.col("n").alias("support"), zero.alias("claimed"), hit.alias("hits")),
         F.struct(F.col("predicted").alias("label"), zero.alias("support"), F.col("n").alias("claimed"), zero.alias("hits")),
     )).alias("s")).select(*by, "s.*").where(F.col("label").isin(labels))
-    groups = pairs.select(*by).distinct() if by else df.sparkSession.range(1)
+    groups = pairs.select(*by).distinct() if by else pairs.sparkSession.range(1)
     zeros = groups.select(
         *by, F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"),
         zero.alias("support"), zero.alias("claimed"), zero.alias("hits"),
@@ -78,7 +89,8 @@ def class_figures(df: DataFrame, truth: str, predicted: str, labels: list[str],
 def class_report(df: DataFrame, truth: str, predicted: str, labels: list[str], digits: int = 4,
                  by: tuple[str, ...] = ()) -> DataFrame:
     """Figures per label, their plain and support-weighted means, and the accuracy of all rows."""
-    figures = class_figures(df, truth, predicted, labels, by)
+    pairs = _pairs(df, truth, predicted, by)
+    figures = _figures(pairs, labels, by)
     names = ("precision", "recall", "f1")
     weight = F.nullif(F.sum("support"), F.lit(0)).cast("double")
     macro = figures.groupBy(*by).agg(*[F.avg(c).alias(c) for c in names], F.sum("support").alias("support"))
@@ -87,7 +99,7 @@ def class_report(df: DataFrame, truth: str, predicted: str, labels: list[str], d
         F.sum("support").alias("support"),
     )
     right = F.sum(F.when(F.col("truth").eqNullSafe(F.col("predicted")), F.col("n")).otherwise(F.lit(0)))
-    acc = _pairs(df, truth, predicted, by).groupBy(*by).agg(
+    acc = pairs.groupBy(*by).agg(
         F.try_divide(right.cast("double"), F.sum("n").cast("double")).alias("accuracy"), F.sum("n").alias("support")
     )
     acc = acc.select(*by, *[F.col("accuracy").alias(c) for c in names], "support")

@@ -207,7 +207,7 @@ report AS (
 
 
 def _summary(name: str, predicted: str) -> str:
-    return f"""SELECT '{name}' AS model, max(support) FILTER (label = 'accuracy') AS n_samples,
+    return f"""SELECT '{name}' AS model, CAST(max(support) FILTER (label = 'accuracy') AS BIGINT) AS n_samples,
   {_r("max(f1) FILTER (label = 'accuracy')", 4)} AS accuracy, {_r("max(f1) FILTER (label = 'macro avg')", 4)} AS macro_f1,
   {_r("max(f1) FILTER (label = 'weighted avg')", 4)} AS weighted_f1
   FROM (WITH {_report(predicted)} SELECT * FROM report)"""

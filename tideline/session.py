@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,3 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tideline-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread over all cores when a scan has fewer splits than there are cores.
+
+    A table of one small file is one split, and per-text work would run on one core. A
+    scan of many splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.design import StudyDesign
 from tideline.functions.labels import star_to_label, star_to_score, stars_text
 from tideline.functions.text import canonical_group
+from tideline.session import balanced
 
 OBS_DESIGN = StudyDesign.two_years("europe", "asia", 1998, 1997)
 
@@ -49,7 +50,7 @@ def observations(spark: SparkSession, root: str, design: StudyDesign = OBS_DESIG
 
 def texts(spark: SparkSession, root: str) -> DataFrame:
     """Documents as reviews: the negative text is the placeholder for one language, null for another."""
-    docs = table(spark, root, "documents")
+    docs = balanced(table(spark, root, "documents"), "doc_id")
     negative = F.when(F.col("lang") == "de", F.lit("---")).when(F.col("lang") != "es", F.col("text"))
     return docs.select(
         F.col("doc_id").alias("review_id"), "lang", "source", F.col("text").alias("text_positive"),
