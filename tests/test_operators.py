@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline import StudyDesign
 from tideline.functions.labels import star_to_label
-from tideline.operators import aggregates, compare, joins, quantiles, sampling
+from tideline.operators import aggregates, compare, joins, quantiles, sampling, skew
 from tideline.operators.skew import group_join, lookup_join, number_rows, small_side, top_per_group
 
 DESIGN = StudyDesign.two_years("t", "c", 2026, 2025)
@@ -199,6 +199,14 @@ def test_top_per_group_cuts_before_the_shuffle(spark):
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
+def test_top_per_group_beyond_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(skew, "GROUP_LIMIT", 5)
+    df = spark.range(1000).select("id", (F.col("id") % 2).alias("g"))
+    top = top_per_group(df, ["g"], [F.desc("id")], 10)
+    assert sorted(r.id for r in top.collect()) == list(range(980, 1000))
+    assert {r["rank"] for r in top.collect()} == set(range(1, 11)) and top.columns == ["id", "g", "rank"]
+
+
 def test_number_rows(spark):
     df = spark.range(500).withColumn("h", F.md5(F.col("id").cast("string")))
     got = {r.h: r.n for r in number_rows(df, "h", "n").collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.skew import group_join
 
-SKETCH_ACCURACY = 100_000
+SKETCH_ACCURACY = 10_000
 
 
 def quantile_cells(df: DataFrame, by: list[str], value: str, probs: list[float],
@@ -28,9 +28,10 @@ def quantile_cells(df: DataFrame, by: list[str], value: str, probs: list[float],
     known = [F.col(c).isNotNull() for c in [*by, value]]
     rows = df.where(reduce(and_, known)).select(*by, F.col(value).cast("double").alias("_v"))
     rows = rows.where(~F.isnan("_v"))
-    sketch = rows.groupBy(*by).agg(
-        F.percentile_approx("_v", lows, accuracy).alias("_lo"),
-        F.percentile_approx("_v", highs, accuracy).alias("_hi"),
+    # One sketch per group answers both ends of all brackets.
+    ends = F.percentile_approx("_v", lows + highs, accuracy)
+    sketch = rows.groupBy(*by).agg(ends.alias("_ends")).select(
+        *by, F.slice("_ends", 1, len(probs)).alias("_lo"), F.slice("_ends", len(probs) + 1, len(probs)).alias("_hi")
     )
     keyed = group_join(rows, sketch, by)
     inside = F.exists(F.arrays_zip("_lo", "_hi"), lambda b: F.col("_v").between(b["_lo"], b["_hi"]))

@@ -227,7 +227,11 @@ def run_study(spark: SparkSession, raw: DataFrame, root: str, design: StudyDesig
     reviews.write_stage(modelled.assignments, root, "topics")
     reviews.write_result(modelled.lda_words, root, "results/lda_top_words")
     reviews.write_result(modelled.embedding_words, root, "results/embedding_top_words")
+    # Every result reads this table, so the stages are joined once and texts left behind.
     joined = analysis_table(spark, root)
+    narrow = [f.name for f in joined.schema.fields if f.name not in TEXT_COLUMNS and f.dataType.typeName() != "array"]
+    reviews.write_stage(joined.select(*narrow), root, "analysis", ["temporal_window"])
+    joined = reviews.read_stage(spark, root, "analysis")
     results = {**comparisons(joined, design), **descriptions(joined, design)}
     for name, frame in results.items():
         reviews.write_result(frame, root, f"results/{name}")
