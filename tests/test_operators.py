@@ -209,8 +209,10 @@ def test_top_per_group_beyond_the_limit(spark, monkeypatch):
 
 def test_number_rows(spark):
     df = spark.range(500).withColumn("h", F.md5(F.col("id").cast("string")))
-    got = {r.h: r.n for r in number_rows(df, "h", "n").collect()}
-    assert [got[h] for h in sorted(got)] == list(range(1, 501))
+    for most in (1000, 100):
+        numbered = number_rows(df, "h", "n", most)
+        got = {r.h: r.n for r in numbered.collect()}
+        assert [got[h] for h in sorted(got)] == list(range(1, 501)) and dict(numbered.dtypes)["n"] == "bigint"
 
 
 def test_small_side(spark):

@@ -27,11 +27,15 @@ def observations(spark: SparkSession, root: str, design: StudyDesign = OBS_DESIG
     customer = table(spark, root, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, root, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, root, "region").select("r_regionkey", "r_name")
-    places = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    people = customer.join(places, customer.c_nationkey == places.n_nationkey)
     undated = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "4-NOT SPECIFIED")
     digit = F.substring("o_orderpriority", 1, 1)
-    rows = orders.join(people, orders.o_custkey == people.c_custkey).select(
+    # Large side first: each lookup is then sized on its own and broadcast only if small.
+    joined = (
+        orders.join(customer, orders.o_custkey == customer.c_custkey)
+        .join(nation, customer.c_nationkey == nation.n_nationkey)
+        .join(region, nation.n_regionkey == region.r_regionkey)
+    )
+    rows = joined.select(
         F.col("o_orderkey").alias("review_id"),
         canonical_group("r_name").alias("city"),
         F.when(~undated, F.to_date("o_orderdate")).alias("review_date"),
