@@ -117,7 +117,7 @@ class ModelledTexts:
 
 
 def model_texts(processed: DataFrame, k: int | None = None, key: str = "review_id", top: int = topics.TOP_WORDS,
-                embedder=None, iterations: int = 20, **grid) -> ModelledTexts:
+                embedder=None, iterations: int = topics.FIT_ITERATIONS, **grid) -> ModelledTexts:
     """LDA and embedding topics of the positive and the negative texts.
 
     The topic number comes from the likelihood grid unless ``k`` fixes it. Without an
