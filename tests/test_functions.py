@@ -103,7 +103,7 @@ def test_strings(values):
     assert values(text.property_from_url("v"), ["https://h.example/hotel/it/b-b-l-angolo4you.it.html?x=1", "https://h.example/x", None]) == [
         "B B L Angolo4You", "unknown", "unknown"]
     assert values(text.slug("v"), ["Città Pre-Evento!"]) == ["città_pre_evento"]
-    assert values(text.display_group("v"), ["  CAGLIARI d'oro "]) == ["Cagliari D'Oro"]
+    assert values(text.display_group("v"), ["  VALLE d'oro "]) == ["Valle D'Oro"]
     found = text.stay_type(F.lit(None).cast("string"), F.split("v", ";"))
     assert values(found, ["x;Coppia;Solo", "x"]) == ["Coppia", ""]
 

@@ -60,7 +60,7 @@ def clean_text(c: Column | str) -> Column:
 
 def tokens(cleaned: Column | str) -> Column:
     """Words of a cleaned text; empty text has none."""
-    return F.filter(F.split(as_col(cleaned), " "), lambda t: t != "")
+    return F.array_remove(F.split(as_col(cleaned), " "), "")
 
 
 def word_tokens(c: Column | str, min_chars: int = 2) -> Column:

@@ -33,12 +33,14 @@ def language_vote(words: Column | str, lists: dict[str, list[str]]) -> Column:
 
     Ties, and texts that hit no list, go to the language named first.
     """
-    distinct = F.array_distinct(as_col(words))
-    votes = [
-        F.struct(count_in(distinct, members).alias("hits"), F.lit(-i).alias("order"), F.lit(language).alias("lang"))
-        for i, (language, members) in enumerate(lists.items())
-    ]
-    return F.array_max(F.array(*votes))["lang"]
+    def vote(distinct: Column) -> Column:
+        return F.array_max(F.array(*[
+            F.struct(count_in(distinct, members).alias("hits"), F.lit(-i).alias("order"), F.lit(language).alias("lang"))
+            for i, (language, members) in enumerate(lists.items())
+        ]))["lang"]
+
+    # Bound once as a lambda variable, so the distinct words are not built per language.
+    return F.transform(F.array(F.array_distinct(as_col(words))), vote)[0]
 
 
 def collapse_language(text: Column | str, language: Column | str, kept: tuple[str, ...] = KEPT_LANGUAGES,
