@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry_point
 import check
+from tideline.plans import catalog, oracle
 
-SQL = entry_point.oracle_sql()
+SQL = oracle.oracle_sql()
 ROWS_ONLY = {"lda_topics", "lda_top_words", "lda_grid", "embedding_topics", "subset_topics"}
 # Fits of models, covered by their own tests.
 PLANNED = sorted(set(SQL))
@@ -17,13 +18,13 @@ def db(data):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry_point.queries()) - set(SQL) == ROWS_ONLY
-    assert set(SQL) <= set(entry_point.queries())
+    assert set(catalog.QUERIES) - set(SQL) == ROWS_ONLY
+    assert set(SQL) <= set(catalog.QUERIES) <= set(entry_point.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, db, data, name):
-    state = check.compare(spark, db, data, name, entry_point.queries()[name], SQL.get(name))
+    state = check.compare(spark, db, data, name, catalog.QUERIES[name], SQL.get(name))
     assert state.startswith(("ok", "rows only")), state
 
 
@@ -35,12 +36,12 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", PLANNED)
 def test_no_pairing_join_and_no_row_python(spark, data, name):
-    plan = entry_point.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert node not in plan
 
 
 def test_scans_read_only_needed_columns(spark, data):
-    plan = entry_point.queries()["volumetric"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.QUERIES["volumetric"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey" not in plan
     assert "o_totalprice" not in plan and "o_orderpriority" in plan

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.numbers import as_col
 
+RESOURCES = Path(__file__).resolve().parent.parent / "resources"
+
 # The placeholder of an empty negative text, and texts that count as missing.
 PLACEHOLDER = "---"
 NA_TOKENS = [
@@ -71,10 +73,10 @@ def word_tokens(c: Column | str, min_chars: int = 2) -> Column:
 
 
 def stopwords(*languages: str) -> list[str]:
-    """Union of the stop-word lists Spark ML ships, sorted."""
+    """Union of the stop-word lists under ``resources``, sorted."""
     found: set[str] = set()
     for language in languages:
-        found.update(StopWordsRemover.loadDefaultStopWords(language))
+        found.update((RESOURCES / f"{language}.txt").read_text("utf-8").split())
     return sorted(found)
 
 

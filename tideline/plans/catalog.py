@@ -35,16 +35,17 @@ def word_docs(spark: SparkSession, root: str) -> DataFrame:
     return texts(spark, root).withColumn("words", text.word_tokens("text_positive"))
 
 
-def vote_lists(first: int | None = None) -> dict[str, list[str]]:
-    return {code: text.stopwords(name)[:first] for code, name in VOTE_LANGUAGES.items()}
+def vote_lists(least: int = 1) -> dict[str, list[str]]:
+    """Stop-words of at least ``least`` characters for each language code."""
+    return {code: [w for w in text.stopwords(name) if len(w) >= least] for code, name in VOTE_LANGUAGES.items()}
 
 
 def voted(spark: SparkSession, root: str) -> DataFrame:
-    """Documents with the language vote on the full lists and on the first words of each."""
+    """Documents with the language vote on all stop-words and on those of three characters or more."""
     docs = texts(spark, root).withColumn("words", text.tokens(text.clean_text("text_positive")))
     return docs.withColumns({
         "predicted": scoring.language_vote("words", vote_lists()),
-        "predicted_short": scoring.language_vote("words", vote_lists(40)),
+        "predicted_long": scoring.language_vote("words", vote_lists(3)),
     })
 
 
@@ -255,7 +256,7 @@ def normalise_labels(spark, root):
 
 @query
 def language_vote(spark, root):
-    return voted(spark, root).select("review_id", "predicted", "predicted_short")
+    return voted(spark, root).select("review_id", "predicted", "predicted_long")
 
 
 @query
@@ -456,29 +457,29 @@ def sample_stats(spark, root):
 
 @query
 def confusion_matrix(spark, root):
-    return evaluate.confusion(voted(spark, root), "lang", "predicted_short", LANGUAGES)
+    return evaluate.confusion(voted(spark, root), "lang", "predicted_long", LANGUAGES)
 
 
 @query
 def class_report(spark, root):
-    return evaluate.class_report(voted(spark, root), "lang", "predicted_short", LANGUAGES)
+    return evaluate.class_report(voted(spark, root), "lang", "predicted_long", LANGUAGES)
 
 
 @query
 def accuracy_by_slice(spark, root):
-    return evaluate.accuracy_by_slice(voted(spark, root), "lang", "predicted_short", "source")
+    return evaluate.accuracy_by_slice(voted(spark, root), "lang", "predicted_long", "source")
 
 
 @query
 def mean_slice_accuracy(spark, root):
-    slices = evaluate.accuracy_by_slice(voted(spark, root), "lang", "predicted_short", "source")
+    slices = evaluate.accuracy_by_slice(voted(spark, root), "lang", "predicted_long", "source")
     mean = evaluate.mean_slice_accuracy(slices)
     return mean.withColumn("mean_accuracy", numbers.half_even("mean_accuracy", 6))
 
 
 @query
 def model_comparison(spark, root):
-    models = {"full lists": "predicted", "short lists": "predicted_short"}
+    models = {"all words": "predicted", "long words": "predicted_long"}
     return evaluate.compare_models(voted(spark, root), "lang", models, LANGUAGES)
 
 

@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
+from tideline.functions.text import stopwords
 from tideline.plans import samples
 from tideline.plans.catalog import LANGUAGES, SEGMENTS, STARS, VOTE_LANGUAGES
 
 
-def shipped_stopwords(language: str) -> list[str]:
-    """A stop-word list of the Spark distribution, read without a session."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as archive:
-        text = archive.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return sorted({w for w in text.split("\n") if w})
-
-
 def _list(values) -> str:
     return "(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + ")"
 
@@ -78,9 +65,9 @@ def _word_tokens(column: str) -> str:
     return f"regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 
 
-def _vote(words: str, first: int | None = None) -> str:
+def _vote(words: str, least: int = 1) -> str:
     hits = [
-        f"len(list_filter(list_distinct({words}), lambda t: t IN {_list(shipped_stopwords(name)[:first])}))"
+        f"len(list_filter(list_distinct({words}), lambda t: t IN {_list([w for w in stopwords(name) if len(w) >= least])}))"
         for name in VOTE_LANGUAGES.values()
     ]
     codes = list(VOTE_LANGUAGES)
@@ -92,7 +79,7 @@ def _vote(words: str, first: int | None = None) -> str:
 def _voted() -> str:
     return f"""{TEXTS},
 worded AS (SELECT *, {_tokens('text_positive')} AS words FROM texts),
-voted AS (SELECT *, {_vote('words')} AS predicted, {_vote('words', 40)} AS predicted_short FROM worded)"""
+voted AS (SELECT *, {_vote('words')} AS predicted, {_vote('words', 3)} AS predicted_long FROM worded)"""
 
 
 def _strip(x: str) -> str:
@@ -272,7 +259,7 @@ def oracle_sql() -> dict[str, str]:
     sql["italian_dates"] = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS review_date FROM orders"
     sql["assign_window"] = f"WITH {OBS} SELECT review_id, temporal_window FROM obs"
     sql["clean_text"] = f"SELECT doc_id AS review_id, {CLEAN.format(c='text')} AS clean FROM documents"
-    stop = _list(sorted({*shipped_stopwords("italian"), *shipped_stopwords("english")}))
+    stop = _list(stopwords("italian", "english"))
     sql["stopword_filter"] = f"""SELECT doc_id AS review_id,
       array_to_string(list_filter({_tokens('text')}, lambda t: t NOT IN {stop}), ' ') AS kept FROM documents"""
     lemma = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in samples.LEMMAS.items()) + " ELSE t END"
@@ -295,7 +282,7 @@ def oracle_sql() -> dict[str, str]:
     voted = _voted()
     collapse = rf"""CASE WHEN text_positive IS NULL OR NOT regexp_matches(text_positive, '[^{SPACE}]') THEN 'unknown'
       WHEN predicted IN ('it', 'en') THEN predicted ELSE 'it' END"""
-    sql["language_vote"] = f"WITH {voted} SELECT review_id, predicted, predicted_short FROM voted"
+    sql["language_vote"] = f"WITH {voted} SELECT review_id, predicted, predicted_long FROM voted"
     sql["language_collapse"] = f"WITH {voted} SELECT review_id, {collapse} AS language FROM voted"
     lexical = f"""WITH {WORDS}, s AS (SELECT review_id, {_lexicon('words')} AS p FROM docs)
       SELECT review_id, {POLAR} AS sentiment_label, {_r('p', 4)} AS sentiment_score FROM s"""
@@ -397,14 +384,14 @@ def oracle_sql() -> dict[str, str]:
     names = ", ".join(f"('{x}')" for x in LANGUAGES)
     sql["confusion_matrix"] = f"""WITH {voted}, l(label) AS (VALUES {names})
       SELECT t.label AS truth, p.label AS predicted, count(v.review_id) AS n FROM l t CROSS JOIN l p
-      LEFT JOIN voted v ON v.lang = t.label AND v.predicted_short = p.label GROUP BY ALL"""
-    sql["class_report"] = f"""WITH {voted}, {_report('predicted_short')} SELECT label, {_r('precision', 4)} AS precision,
+      LEFT JOIN voted v ON v.lang = t.label AND v.predicted_long = p.label GROUP BY ALL"""
+    sql["class_report"] = f"""WITH {voted}, {_report('predicted_long')} SELECT label, {_r('precision', 4)} AS precision,
       {_r('recall', 4)} AS recall, {_r('f1', 4)} AS f1, CAST(support AS BIGINT) AS support FROM report"""
-    hit = "avg((lang = predicted_short)::INT)"
+    hit = "avg((lang = predicted_long)::INT)"
     sql["accuracy_by_slice"] = f"WITH {voted} SELECT source, {hit} AS accuracy, count(*) AS n FROM voted GROUP BY 1"
     sql["mean_slice_accuracy"] = f"""WITH {voted}, s AS (SELECT source, {hit} AS a FROM voted GROUP BY 1)
       SELECT {_r('avg(a)', 6)} AS mean_accuracy, count(*) AS n_slices FROM s"""
-    sql["model_comparison"] = f"""WITH {voted} {_summary('full lists', 'predicted')} UNION ALL {_summary('short lists', 'predicted_short')}"""
+    sql["model_comparison"] = f"""WITH {voted} {_summary('all words', 'predicted')} UNION ALL {_summary('long words', 'predicted_long')}"""
     sql["label_union"] = f"""WITH {voted} SELECT lang AS label FROM voted UNION SELECT {collapse} FROM voted"""
 
     sql["stage_join"] = "SELECT doc_id AS review_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)"
