@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
 
-from tideline.llm import jaccard
+from tideline.llm import bitplanes, fingerprints, jaccard, mixing, pieces, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +27,58 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op1_jaccard_join(spark, root):
     return jaccard.jaccard_components(documents(spark, root), k=3, num=9, den=10)
+
+
+@query
+def op4_substring_dedup(spark, root):
+    cut = substrings.remove_repeats(documents(spark, root), width=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op3_sharding(spark, root):
+    docs = sharding.sharded(documents(spark, root).select("doc_id", "text"), shards=16, plain_scan=True)
+    content = F.coalesce("text", F.lit(""))
+    return docs.select(
+        "doc_id", (F.octet_length(content).cast("long") + 1).alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_mix_sources(spark, root):
+    docs = documents(spark, root).select("doc_id", "source")
+    return mixing.mix_sources(docs)
+
+
+@query
+def op7_toxicity(spark, root):
+    labels = spark.read.parquet(f"{root}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.toxicity(documents(spark, root).select("doc_id", "text"), labels)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op9_fingerprints(spark, root):
+    table = fingerprints.fingerprint_table(documents(spark, root))
+    return fingerprints.with_classes(table, radius=3).drop("hi", "lo")
+
+
+@query
+def op8_token_ids(spark, root):
+    return bitplanes.token_id_table(documents(spark, root), tokenizer_path("byte_bpe_50k.json"))
+
+
+def encoded_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_pieces, n_byte_pieces, ids, and whether decoding gives back the text."""
+    vocabulary = pieces.load_pieces(tokenizer_path("piece_bpe_32k.model"))
+    both = pieces.decode_pieces(pieces.encode_pieces(docs, vocabulary), vocabulary)
+    low, high = int(vocabulary.byte_ids.min()), int(vocabulary.byte_ids.max())
+    return both.select(
+        *[c for c in docs.columns if c != "text"], F.size("ids").cast("long").alias("n_pieces"),
+        F.size(F.filter("ids", lambda i: i.between(low, high))).cast("long").alias("n_byte_pieces"), "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query
+def op6_piece_encoding(spark, root):
+    return encoded_documents(documents(spark, root).select("doc_id", "text"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.words import mix
 from tideline.session import scratch_path
 
 
@@ -81,3 +82,50 @@ def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterat
 
     dealt = df.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, schema)
+
+
+SLOTS = 1 << 24
+
+
+def id_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit set of hashed ids: 2 MB at most, whatever the number of ids.
+
+    It only spares rows a shuffle. As it fills up, more rows take the join that decides.
+    """
+    def run(batches):
+        for batch in batches:
+            slot = np.unique(_slots(batch.column(0).drop_null().to_numpy()))
+            word, at = np.unique(slot >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), at) if len(slot) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    words = ids.select(column).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = words.toArrow()
+    bits = np.zeros(SLOTS >> 6, np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def maybe_in(df: DataFrame, column: str, bits: np.ndarray, wanted: bool = True) -> DataFrame:
+    """Rows whose id may be among those of ``bits``, or with ``wanted=False`` the others; null ids are others."""
+    held = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(column)
+            slot = _slots(ids.fill_null(0).to_numpy())
+            known = (held.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            known &= ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(known == wanted))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def in_doc_order(docs: DataFrame) -> DataFrame:
+    """Rows by ascending doc_id over the partitions and within them; nulls first, ties by a hash of the text."""
+    tied = docs.withColumn("__tie", F.xxhash64("text")).repartitionByRange("doc_id", "__tie")
+    return tied.sortWithinPartitions("doc_id", "__tie", "text").drop("__tie")
