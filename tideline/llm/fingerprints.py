@@ -38,7 +38,8 @@ def fingerprints(column: pa.Array) -> np.ndarray:
         fresh = np.ones(len(terms), bool)
         fresh[1:] = (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])
         at = np.flatnonzero(fresh)
-        weight = 1 + np.log(np.diff(np.append(at, len(terms))))
+        # whole numbers, so that sums do not depend on their order
+        weight = np.rint(256 * (1 + np.log(np.diff(np.append(at, len(terms))))))
         both = np.stack([terms[at], W.mix(terms[at] ^ np.uint64(0x5851F42D4C957F2D))], axis=1)
         octets = np.ascontiguousarray(both).view(np.uint8)
         votes = np.empty((hi - lo, BITS))

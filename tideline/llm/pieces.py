@@ -65,9 +65,21 @@ def double_array(entries: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarr
         if not children[node]:
             continue
         labels = np.array(sorted(children[node]))
-        at = max(free - int(labels[0]), 1)
-        while (check[at + labels] >= 0).any():
-            at += 1
+        at, look = 0, free
+        while not at:
+            while look + 5120 > len(check):
+                grow = len(check)
+                base = np.concatenate([base, np.zeros(grow, np.int32)])
+                check, value = (np.concatenate([x, np.full(grow, -1, np.int32)]) for x in (check, value))
+            tried = look + np.flatnonzero(check[look:look + 4096] < 0) - labels[0]
+            tried = tried[tried > 0]
+            fits = tried[(check[tried[:, None] + labels] < 0).all(axis=1)]
+            if len(fits):
+                at = int(fits[0])
+            elif look == free and len(tried) < 400:
+                free = look = look + 4096  # nearly full: not searched again
+            else:
+                look += 4096
         here = place[node]
         base[here] = at
         check[at + labels] = here
@@ -75,12 +87,6 @@ def double_array(entries: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarr
             child = children[node][c]
             place[child] = at + c
             value[at + c] = ends.get(child, -1)
-        while check[free] >= 0:
-            free += 1
-        if at + 512 > len(check) - 256:
-            grow = len(check)
-            base = np.concatenate([base, np.zeros(grow, np.int32)])
-            check, value = (np.concatenate([x, np.full(grow, -1, np.int32)]) for x in (check, value))
     used = int(np.flatnonzero(check >= 0).max()) + 257
     return base[:used], check[:used], value[:used]
 
