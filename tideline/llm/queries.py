@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from tideline.llm import bitplanes, fingerprints, jaccard, mixing, pieces, sharding, substrings, toxicity
+from tideline.llm import bitplanes, fingerprints, jaccard, mixing, neighbours, pieces, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +82,8 @@ def encoded_documents(docs: DataFrame) -> DataFrame:
 @query
 def op6_piece_encoding(spark, root):
     return encoded_documents(documents(spark, root).select("doc_id", "text"))
+
+
+@query
+def op10_nearest_neighbours(spark, root):
+    return neighbours.nearest(spark.read.parquet(f"{root}/embeddings.parquet"))

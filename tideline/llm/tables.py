@@ -51,13 +51,15 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return roots
 
 
-def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str,
+               most: int | None = None) -> DataFrame:
     """``work`` on the rows of each run of equal keys, for many groups of bounded size.
 
     Groups are sorted runs of one partition, so a million small groups cost no more than
-    their rows. Keys are integer columns without nulls.
+    their rows. Keys are integer columns without nulls. With ``most``, a longer run is
+    worked on in pieces of about that many rows.
     """
-    def run(batches):
+    def groups(batches):
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -70,15 +72,30 @@ def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterat
             change[0] = last is not None and any(c[0] != v for c, v in zip(columns, last))
             last = [c[-1] for c in columns]
             at = 0
-            for cut in np.flatnonzero(change):
-                if cut > at:
-                    held.append(batch.slice(at, cut - at))
-                if held:
-                    yield from work(pa.Table.from_batches(held))
-                held, at = [], cut
-            held.append(batch.slice(at))
+            for cut in [*np.flatnonzero(change).tolist(), batch.num_rows]:
+                if cut < batch.num_rows or cut > at:
+                    if cut > at:
+                        held.append(batch.slice(at, cut - at))
+                    full = most is not None and sum(b.num_rows for b in held) >= most
+                    if held and (cut < batch.num_rows or full):
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    at = cut
         if held:
-            yield from work(pa.Table.from_batches(held))
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        out, rows = [], 0
+        for group in groups(batches):
+            for lo in range(0, group.num_rows, most or group.num_rows):
+                for found in work(group.slice(lo, most)):
+                    out.append(found)
+                    rows += found.num_rows
+            if rows >= 4096:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out, rows = [], 0
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     dealt = df.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, schema)
@@ -94,7 +111,7 @@ def id_bits(ids: DataFrame, column: str) -> np.ndarray:
     """
     def run(batches):
         for batch in batches:
-            slot = np.unique(_slots(batch.column(0).drop_null().to_numpy()))
+            slot = np.unique(_slots(batch.column(0).cast(pa.int64()).drop_null().to_numpy()))
             word, at = np.unique(slot >> 6, return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (slot & 63).astype(np.uint64), at) if len(slot) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
@@ -110,17 +127,24 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def maybe_in(df: DataFrame, column: str, bits: np.ndarray, wanted: bool = True) -> DataFrame:
-    """Rows whose id may be among those of ``bits``, or with ``wanted=False`` the others; null ids are others."""
+def bits_hold(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which ids may be among those of ``bits``; null ids are not."""
+    slot = _slots(ids.cast(pa.int64()).fill_null(0).to_numpy())
+    known = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return known & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def maybe_in(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """Rows whose id may be among those of ``bits``.
+
+    For rows that are shuffled next. A map that reads them in the same stage calls
+    :func:`bits_hold` itself, for one Python process less.
+    """
     held = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(column)
-            slot = _slots(ids.fill_null(0).to_numpy())
-            known = (held.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-            known &= ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(known == wanted))
+            yield batch.filter(pa.array(bits_hold(batch.column(column), held.value)))
 
     return df.mapInArrow(run, df.schema)
 
