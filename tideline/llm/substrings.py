@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm import words as W
-from tideline.llm.tables import id_bits, maybe_in, saved
+from tideline.llm.tables import bits_hold, id_bits, maybe_in, saved
 
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)  # the differences of these give every residue modulo 21
@@ -33,10 +33,14 @@ def _anchors_of(words: W.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return found[use], begin[use]
 
 
-def _posted(texts: DataFrame, width: int) -> DataFrame:
-    """(anchor, key) of every anchor of every text."""
+def _posted(texts: DataFrame, width: int, without: np.ndarray | None = None) -> DataFrame:
+    """(anchor, key) of every anchor of every text, but for texts that ``without`` may hold."""
+    bits = texts.sparkSession.sparkContext.broadcast(without)
+
     def run(batches):
         for batch in batches:
+            if bits.value is not None:
+                batch = batch.filter(pa.array(~bits_hold(batch.column("h1"), bits.value)))
             key = batch.column("key").to_numpy()
             for lo, hi, data, offsets in W.slices(batch.column("text")):
                 words = W.words_of(data, offsets)
@@ -44,7 +48,7 @@ def _posted(texts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [W.longs(found), pa.array(key[lo:hi][words.row[begin]])], ["anchor", "key"])
 
-    return texts.select("key", "text").mapInArrow(run, "anchor long, key int")
+    return texts.select("key", "text", "h1").mapInArrow(run, "anchor long, key int")
 
 
 def _windows(texts: DataFrame, width: int) -> DataFrame:
@@ -91,12 +95,15 @@ def _joined(words: W.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(ends)])
 
 
-def _cut(docs: DataFrame, width: int, schema: T.StructType) -> DataFrame:
+def _cut(docs: DataFrame, width: int, schema: T.StructType, without: np.ndarray | None = None) -> DataFrame:
     """docs with kept_text, n_words, n_removed from __gone and __starts, the words of windows that go."""
     names = schema.names
+    bits = docs.sparkSession.sparkContext.broadcast(without)
 
     def run(batches):
         for batch in batches:
+            if bits.value is not None:
+                batch = batch.filter(pa.array(~bits_hold(batch.column("__h1"), bits.value)))
             gone = batch.column("__gone").to_numpy(zero_copy_only=False)
             marks = batch.column("__starts")
             m_at, m = marks.offsets.to_numpy(), marks.values.to_numpy(zero_copy_only=False)
@@ -135,15 +142,15 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
         "text", h1.alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.hash("text").alias("key"))
     copies = saved(texts.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "copies")
     many = id_bits(copies, "h1")
-    texts = maybe_in(texts, "h1", many, False).unionByName(maybe_in(texts, "h1", many).dropDuplicates(["h1", "h2"]))
-
-    posted = _posted(texts, width)
+    repeated = maybe_in(texts, "h1", many).dropDuplicates(["h1", "h2"])
+    posted = _posted(texts, width, many).unionByName(_posted(repeated, width))
     often = posted.groupBy("anchor").count().where("count > 1").select("anchor")
     hits = posted.join(often, "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     hits = saved(hits, "hits")
-    known = id_bits(hits.select(F.col("key").cast("long").alias("key")), "key")
-    wide = texts.withColumn("wide", F.col("key").cast("long"))
-    windows = saved(_windows(maybe_in(wide, "wide", known).join(hits, "key"), width), "windows")
+    known = id_bits(hits, "key")
+    # copies of a text are one again, whether or not they were told apart above
+    read = maybe_in(texts, "key", known).dropDuplicates(["h1", "h2"]).join(hits, "key")
+    windows = saved(_windows(read, width), "windows")
     twice = windows.groupBy("hash", "check").count().where("count > 1").select("hash", "check")
     starts = windows.join(twice, ["hash", "check"], "left_semi").groupBy("h1", "h2").agg(
         F.collect_list("place").alias("__starts"))
@@ -156,8 +163,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     keyed = docs.withColumns({"__h1": h1, "__h2": F.xxhash64(F.lit(1), "text")})
     touched = id_bits(gone, "__h1")
-    rest = maybe_in(keyed, "__h1", touched, False).withColumns(
-        {"__gone": F.lit(False), "__starts": F.array().cast("array<int>")})
+    rest = keyed.withColumns({"__gone": F.lit(False), "__starts": F.array().cast("array<int>")})
     hit = maybe_in(keyed, "__h1", touched).join(gone, ["__h1", "__h2"], "left").withColumns(
         {"__gone": F.coalesce("__gone", F.lit(False)), "__starts": F.coalesce("__starts", F.array().cast("array<int>"))})
-    return _cut(rest, width, schema).unionByName(_cut(hit, width, schema))
+    return _cut(rest, width, schema, touched).unionByName(_cut(hit, width, schema))
