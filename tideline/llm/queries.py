@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from tideline.llm import bitplanes, fingerprints, jaccard, mixing, neighbours, pieces, sharding, substrings, toxicity
+from tideline.llm import bitplanes, fingerprints, jaccard, language_model, mixing, neighbours, pieces, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,8 @@ def op6_piece_encoding(spark, root):
 @query
 def op10_nearest_neighbours(spark, root):
     return neighbours.nearest(spark.read.parquet(f"{root}/embeddings.parquet"))
+
+
+@query
+def op5_language_model(spark, root):
+    return language_model.score_texts(documents(spark, root))
