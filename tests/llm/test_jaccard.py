@@ -36,6 +36,13 @@ def test_same_components_as_all_pairs(spark, k, num, den):
     assert got == want
 
 
+def test_last_round_takes_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPANNING_ROUNDS", 0)
+    rows = list(enumerate(family(8, 80, 60, 9)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, rows, k=3, num=9, den=10)}
+    assert got == jaccard_components(rows, 3, 9, 10)
+
+
 def test_table_equals_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = jaccard_components([(r.doc_id, r.text) for r in docs.collect()], 3, 9, 10)
@@ -53,6 +60,10 @@ def test_large_tiles_are_cut_into_blocks(spark, monkeypatch):
     some = {tuple(r) for r in jaccard.tile_candidates(posts, sets, 9, 10, block=16).collect()}
     whole = {tuple(r) for r in jaccard.tile_candidates(posts, sets, 9, 10, block=10**6).collect()}
     assert some == whole and some
+    span = {tuple(r) for r in jaccard.tile_candidates(posts, sets, 9, 10, spanning=True).collect()}
+    assert span < whole
+    few = spark.createDataFrame(sorted(span), "a long, b long")
+    assert {tuple(r) for r in jaccard.tile_candidates(posts, sets, 9, 10, few).collect()} == whole - span
 
 
 def test_nulls_repeated_rows_and_empty_table(spark):
