@@ -10,10 +10,10 @@ DESIGN = StudyDesign.two_years("target", "control", 2026, 2025)
 
 
 def test_italian_date(values):
-    texts = ["1º aprile 2025", "15 maggio 2026", "3° GIUGNO 2025", "visto il 2 luglio 2024, poi 3 agosto 2024",
+    texts = ["4º marzo 2023", "17 agosto 2022", "3° GIUGNO 2025", "visto il 2 luglio 2024, poi 3 agosto 2024",
              "31 febbraio 2026", "5 foo 2026", "0 aprile 2025", "", None, "12 maggio 2026"]
     assert values(dates.italian_date("v"), texts) == [
-        date(2025, 4, 1), date(2026, 5, 15), date(2025, 6, 3), date(2024, 7, 2), None, None, None, None, None,
+        date(2023, 3, 4), date(2022, 8, 17), date(2025, 6, 3), date(2024, 7, 2), None, None, None, None, None,
         date(2026, 5, 12)]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline import StudyDesign
 from tideline.functions.labels import star_to_label
 from tideline.operators import aggregates, compare, joins, quantiles, sampling, skew
-from tideline.operators.skew import group_join, lookup_join, number_rows, small_side, top_per_group
+from tideline.operators.skew import number_rows, top_per_group
 
 DESIGN = StudyDesign.two_years("t", "c", 2026, 2025)
 SCHEMA = "review_id long, city string, temporal_window string, sentiment_score double, sentiment_label string, rating double, topic int, emotion_label string"
@@ -130,32 +130,6 @@ def test_box_stats(spark):
     assert sorted(r["v"] for r in quantiles.box_outliers(df, ["g"], "v").collect()) == [-80.0, 100.0]
 
 
-def test_lookup_join_hot_and_null_keys(spark):
-    left = spark.range(3000).select(
-        F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, F.lit(None).cast("string"))
-        .when(F.col("id") % 5 == 0, "lacking").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
-    right = spark.createDataFrame([("hot", 1), (None, 2)] + [(f"k{i}", 100 + i) for i in range(40)], "k string, v int")
-    got = lookup_join(left, right, ["k"], spread="id", fraction=0.5)
-    want = left.join(right, left.k.eqNullSafe(right.k), "left").select(left.id, left.k, "v")
-    assert sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
-    assert got.count() == 3000
-
-
-def test_lookup_join_scatters_hot_rows(spark):
-    left = spark.range(20000).select("id", F.lit("hot").alias("k"))
-    right = spark.createDataFrame([("hot", 1)], "k string, v int")
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        joined = lookup_join(left, right, ["k"], spread="id")
-        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(sizes) == 4 and max(sizes) < 20000 / 2
-
-
 def test_natural_key_join(spark):
     left = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", "x"), (4, "c", "y")], "review_id long, p string, q string")
     right = spark.createDataFrame([(1, "a", None, 10), (2, "a", None, 20), (3, "b", "x", 30), (9, "b", "z", 40)],
@@ -188,7 +162,7 @@ def test_until_first_below(spark):
     listed = [("a", 1, date(2026, 5, 3)), ("a", 2, None), ("a", 3, date(2026, 4, 1)), ("a", 4, date(2026, 5, 2)),
               ("b", 1, None), ("b", 2, date(2026, 5, 9)), ("c", 1, date(2026, 1, 1))]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(listed)], "id long, p string, pos int, d date")
-    got = joins.until_first_below(df, "p", "pos", "d", date(2026, 5, 1), "id")
+    got = joins.until_first_below(df, "p", "pos", "d", date(2026, 5, 1))
     assert sorted((r.p, r.pos) for r in got.collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
 
 
@@ -209,16 +183,9 @@ def test_top_per_group_beyond_the_limit(spark, monkeypatch):
 
 def test_number_rows(spark):
     df = spark.range(500).withColumn("h", F.md5(F.col("id").cast("string")))
-    for most in (1000, 100):
-        numbered = number_rows(df, "h", "n", most)
-        got = {r.h: r.n for r in numbered.collect()}
-        assert [got[h] for h in sorted(got)] == list(range(1, 501)) and dict(numbered.dtypes)["n"] == "bigint"
-
-
-def test_small_side(spark):
-    assert small_side(spark.range(11), 10) is None and small_side(spark.range(10), 10).count() == 10
-    side = spark.range(20).select("id", F.lit(1).alias("x"))
-    assert group_join(spark.range(20), side, ["id"], most=5).count() == 20
+    numbered = number_rows(df, "h", "n")
+    got = {r.h: r.n for r in numbered.collect()}
+    assert [got[h] for h in sorted(got)] == list(range(1, 501)) and dict(numbered.dtypes)["n"] == "bigint"
 
 
 def test_samples(spark):

@@ -34,8 +34,7 @@ def test_lexicon_forms_agree(spark):
         ("positive", 0.5), ("negative", -0.25), ("neutral", 0.0), ("neutral", 0.05), ("neutral", 0.0)]
 
 
-def test_large_lexicon_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(scoring, "small_side", lambda *a: None)
+def test_table_forms(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "review_id long, w array<string>")
     table = spark.createDataFrame([("a", 1.0), ("b", 0.5)], "word string, weight double")
     got = {r.review_id: r.sentiment_score for r in scoring.lexicon_sentiment_table(df, "w", table).collect()}
@@ -175,16 +174,16 @@ def test_choose_k(spark, split_docs):
 
 def test_subsets(spark, split_docs):
     df = split_docs.withColumn("city", F.when(F.col("review_id") < 55, "t").otherwise("c"))
-    sizes = {r.city: (r.n, r.n_valid, r.modelled) for r in topics.subset_sizes(df, ["city"], "words").collect()}
+    sizes = {r.city: (r.n, r.n_valid, r.modelled) for r in topics.subset_sizes(df, ["city"], "words", least=50).collect()}
     assert sizes == {"t": (55, 55, True), "c": (7, 6, False)}
-    words = topics.per_subset(df, ["city"], "words", k=2)
+    words = topics.per_subset(df, ["city"], "words", k=2, least=50)
     assert {r.city for r in words.collect()} == {"t"} and words.where("error is not null").count() == 0
 
 
 def test_subset_errors_stay_inside(spark):
     rows = [(i, "a", [f"w{i}"]) for i in range(60)] + [(100 + i, "b", ["x", "y", f"z{i % 2}"]) for i in range(60)]
     df = spark.createDataFrame(rows, "review_id long, city string, words array<string>")
-    got = topics.per_subset(df, ["city"], "words", k=2).collect()
+    got = topics.per_subset(df, ["city"], "words", k=2, least=50).collect()
     assert [r.error is not None for r in got if r.city == "a"] == [True]
     assert any(r.city == "b" and r.word for r in got)
 
@@ -195,7 +194,7 @@ def test_embedding_topics(spark):
     got = {r.review_id: (r.topic, r.prob) for r in topics.embedding_topics(df, "v", 2).collect()}
     assert {got[i][0] for i in range(30)} == {0} and {got[100 + i][0] for i in range(12)} == {1}
     assert got[200] == got[201] == (-1, 0.0) and all(0 <= p <= 1 for _, p in got.values())
-    few = topics.embedding_topics(df.limit(5), "v", 2).collect()
+    few = topics.embedding_topics(df.limit(5), "v", 2, least=10).collect()
     assert all(r.topic == -1 for r in few)
     strict = topics.embedding_topics(df, "v", 2, min_similarity=1.1).collect()
     assert all(r.topic == -1 for r in strict)

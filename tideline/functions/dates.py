@@ -23,7 +23,7 @@ EN_MONTHS = {
 }
 
 _GAP = r"[\s\p{Z}]+"
-_ANYWHERE = rf"(\d{{1,2}})[º°]?{_GAP}([a-zà-ü]+){_GAP}(\d{{4}})"
+_ANYWHERE = rf"(\d{{1,2}})[º°]?{_GAP}(\p{{L}}+){_GAP}(\d{{4}})"
 _WHOLE = rf"^[\s\p{{Z}}]*(\d{{1,2}})[ºª°]?{_GAP}(\p{{L}}+){_GAP}(\d{{4}})[\s\p{{Z}}]*\z"
 
 

@@ -43,7 +43,7 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 def parse_rating(c: Column | str) -> Column:
     """First number of a score text, comma or dot; a 0-100 score is brought to 0-10."""
     text = F.replace(as_col(c), F.lit(","), F.lit("."))
-    value = F.nullif(F.regexp_extract(text, r"(\d+\.\d+|\d+)", 1), F.lit("")).try_cast("double")
+    value = F.nullif(F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
     return F.when(value > 10, half_even(value / 10, 2)).otherwise(value)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.design import StudyDesign
 from tideline.functions.numbers import half_even, pct_change, share_pct
 from tideline.operators.aggregates import emotion_pivot, paired_window
-from tideline.operators.skew import small_side, top_per_group
+from tideline.operators.skew import top_per_group
 
 WINDOW = "temporal_window"
 CELL_COLUMNS = {"n", "score_sum", "score_n"}
@@ -21,14 +21,11 @@ def compact(df: DataFrame, topic: str, group: str = "city", window: str = WINDOW
             label: str = "sentiment_label") -> DataFrame:
     """Rows counted per group, window, class and topic, with the sum and number of scores.
 
-    All comparisons follow from these cells, so a table is read once for all of them. Few
-    cells are held as a local table; many stay a plan.
+    All comparisons follow from these cells, so a table is read once for all of them.
     """
-    cells = df.groupBy(group, window, label, topic).agg(
+    return df.groupBy(group, window, label, topic).agg(
         F.count("*").alias("n"), F.sum(score).alias("score_sum"), F.count(score).alias("score_n")
     )
-    local = small_side(cells, 100_000)
-    return cells if local is None else local
 
 
 def _is_cells(df: DataFrame) -> bool:

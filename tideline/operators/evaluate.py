@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.numbers import half_even
-from tideline.operators.skew import small_side
 
 
 def label_union(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -24,16 +23,10 @@ def label_list(df: DataFrame, truth: str, predicted: str, most: int = 1000) -> l
 
 
 def _pairs(df: DataFrame, truth: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts per (truth, predicted), the only pass over the rows.
-
-    They are few, so they are held as a local table and the predictions are computed once
-    for all figures; should labels be many after all, the counts stay a plan.
-    """
-    counts = df.groupBy(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
+    """Counts per (truth, predicted) of rows with a truth, the only pass over the rows."""
+    return df.where(F.col(truth).isNotNull()).groupBy(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
         F.count("*").alias("n")
     )
-    local = small_side(counts, 100_000)
-    return counts if local is None else local
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, labels: list[str]) -> DataFrame:
@@ -109,13 +102,9 @@ def class_report(df: DataFrame, truth: str, predicted: str, labels: list[str], d
     return out.select(*by, "label", *[half_even(c, digits).alias(c) for c in names], "support")
 
 
-def overall_accuracy(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    return df.agg(_accuracy(truth, predicted).alias("accuracy"), F.count("*").alias("n"))
-
-
 def accuracy_by_slice(df: DataFrame, truth: str, predicted: str, by: str) -> DataFrame:
-    """Accuracy and rows per slice."""
-    return df.groupBy(by).agg(_accuracy(truth, predicted).alias("accuracy"), F.count("*").alias("n"))
+    """Accuracy and rows per slice, of rows with a truth."""
+    return df.where(F.col(truth).isNotNull()).groupBy(by).agg(_accuracy(truth, predicted).alias("accuracy"), F.count("*").alias("n"))
 
 
 def mean_slice_accuracy(slices: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.design import OUTSIDE, UNKNOWN, StudyDesign
-from tideline.operators.skew import key_digest, lookup_join
+from tideline.operators.skew import key_digest
 
 # Windows a broadcast may carry: a thousand years of days.
 MAX_BROADCAST_DAYS = 366_000
@@ -30,16 +30,14 @@ def natural_key_join(left: DataFrame, right: DataFrame, keys: list[str], row_key
     aggregates, and equal copies are never multiplied out.
     """
     new = [c for c in right.columns if c not in left.columns]
-    aggs = [F.min_by(F.struct(*new), F.col(row_key)).alias("_first")] if new else []
-    if fanout or not aggs:
-        aggs.append(F.count("*").alias("n_matches"))
-    # Group by the digest, not the texts: partial sums collapse copies before the shuffle.
-    side = right.withColumn("_key", key_digest(keys)).groupBy("_key").agg(*aggs)
-    joined = lookup_join(left, side, keys, spread=row_key, digest="_key")
+    # Group by the digest, not the texts: partial minima collapse copies before the shuffle.
+    side = right.withColumn("_key", key_digest(keys)).groupBy("_key").agg(
+        F.min(row_key).alias("_first"), F.count("*").alias("n_matches"))
+    if new:
+        side = side.join(right.select(F.col(row_key).alias("_first"), *new), "_first", "left")
+    joined = left.withColumn("_key", key_digest(keys)).join(side, "_key", "left")
     return joined.select(
-        *left.columns,
-        *[F.col(f"_first.{c}").alias(c) for c in new],
-        *([F.coalesce("n_matches", F.lit(1)).alias("n_matches")] if fanout else []),
+        *left.columns, *new, *([F.coalesce("n_matches", F.lit(1)).alias("n_matches")] if fanout else []),
     )
 
 
@@ -70,12 +68,13 @@ def in_windows(df: DataFrame, labels: list[str], column: str = "temporal_window"
     return df.where(F.col(column).isin(labels))
 
 
-def until_first_below(df: DataFrame, by: str, position: str, day: str, low, row_key: str) -> DataFrame:
+def until_first_below(df: DataFrame, by: str, position: str, day: str, low) -> DataFrame:
     """Rows of each group before its first row dated under ``low``; undated rows stay.
 
     For lists ordered newest first. The stop position of each group is an aggregate, so a
     group of any size is never sorted in one task.
     """
     stops = df.groupBy(by).agg(F.min(F.when(F.col(day) < F.lit(low), F.col(position))).alias("_stop"))
-    marked = lookup_join(df, stops, [by], spread=row_key)
+    stops = stops.withColumnRenamed(by, "_by")
+    marked = df.join(stops, df[by].eqNullSafe(stops["_by"]), "left").drop("_by")
     return marked.where(F.col("_stop").isNull() | (F.col(position) < F.col("_stop"))).drop("_stop")

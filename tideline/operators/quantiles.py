@@ -8,7 +8,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators.skew import group_join
 
 SKETCH_ACCURACY = 10_000
 
@@ -33,7 +32,7 @@ def quantile_cells(df: DataFrame, by: list[str], value: str, probs: list[float],
     sketch = rows.groupBy(*by).agg(ends.alias("_ends")).select(
         *by, F.slice("_ends", 1, len(probs)).alias("_lo"), F.slice("_ends", len(probs) + 1, len(probs)).alias("_hi")
     )
-    keyed = group_join(rows, sketch, by)
+    keyed = rows.join(sketch, by)
     inside = F.exists(F.arrays_zip("_lo", "_hi"), lambda b: F.col("_v").between(b["_lo"], b["_hi"]))
     next_low = F.array_min(F.filter("_lo", lambda x: x > F.col("_v")))
     return (
@@ -113,4 +112,4 @@ def _with_fences(df: DataFrame, by: list[str], value: str, whisker: float, accur
     boxes = exact_quantiles(rows, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, accuracy)
     reach = (F.col("q3") - F.col("q1")) * F.lit(whisker)
     boxes = boxes.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
-    return group_join(rows, boxes, by)
+    return rows.join(boxes, by)

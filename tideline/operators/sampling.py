@@ -37,11 +37,16 @@ def eligible(text: Column | str, language: Column | str, wanted: str = "it", min
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int = PER_STRATUM, seed: int = SEED,
                       columns: list[str] | None = None, annotation: str = "annotation") -> DataFrame:
-    """Up to n rows of each stratum, shuffled, numbered 1..N, with an empty annotation column."""
-    drawn = top_per_group(df, [stratum], [draw_key(seed, key), F.col(key)], n, rank="_rank").drop("_rank")
+    """Up to n rows of each stratum, shuffled, numbered 1..N, with an empty annotation column.
+
+    Only strata and keys, unique and not null, are ranked; the other columns join the chosen keys.
+    """
+    slim = df.select(stratum, key)
+    drawn = top_per_group(slim, [stratum], [draw_key(seed, key), F.col(key)], n, rank="_rank").drop("_rank")
     mixed = number_rows(drawn.withColumn("_mix", draw_key(f"{seed}:mix", key)), "_mix", "_id")
     keep = [c for c in (columns or df.columns) if c in df.columns and c != "id"]
-    return mixed.select(F.col("_id").alias("id"), *keep, F.lit("").alias(annotation))
+    chosen = mixed.select("_id", F.col(key).alias("_key"))
+    return df.join(chosen, df[key] == chosen["_key"]).select(F.col("_id").alias("id"), *keep, F.lit("").alias(annotation))
 
 
 def sample_stats(df: DataFrame, stratum: str, text: str, language: str, wanted: str = "it",

@@ -16,7 +16,6 @@ from pyspark.sql.pandas.functions import pandas_udf
 from tideline.functions.labels import POLARITY_CUT, polarity_label, star_to_label, star_to_score
 from tideline.functions.numbers import as_col, half_even
 from tideline.functions.text import count_in, is_valid_text
-from tideline.operators.skew import lookup_join, small_side
 
 # Languages kept, the language of any other text, and the label of blank text.
 KEPT_LANGUAGES = ("it", "en")
@@ -83,15 +82,10 @@ def lexicon_sentiment_table(df: DataFrame, words: str, lexicon: DataFrame, key:
                             cut: float = POLARITY_CUT) -> DataFrame:
     """The same from a lexicon table (word, weight) of any size.
 
-    A lexicon that passes the size check is broadcast. Partial sums per text leave each
-    task before the shuffle, since all words of a text start in the same one.
+    Adaptive execution broadcasts a small lexicon and splits skewed words. Partial sums per
+    text leave each task before the shuffle, since all words of a text start in the same one.
     """
-    exploded = df.select(key, F.explode(words).alias("word"))
-    local = small_side(lexicon, 1_000_000)
-    if local is not None:
-        hits = exploded.join(F.broadcast(local), "word")
-    else:
-        hits = lookup_join(exploded, lexicon, ["word"], spread=key).where(F.col("weight").isNotNull())
+    hits = df.select(key, F.explode(words).alias("word")).join(lexicon, "word")
     scores = hits.groupBy(key).agg(F.avg("weight").alias("_polarity"))
     joined = df.join(scores, key, "left").withColumn("_polarity", F.coalesce("_polarity", F.lit(0.0)))
     return _polarity_columns(joined, cut)
@@ -108,11 +102,7 @@ def lemmatize_table(df: DataFrame, words: str, lemmas: DataFrame, key: str = "re
                     out: str = "lemmas") -> DataFrame:
     """Lemma of each word from a table (form, lemma) of any size; unknown words stay."""
     exploded = df.select(key, F.posexplode(words).alias("pos", "form"))
-    local = small_side(lemmas, 1_000_000)
-    if local is not None:
-        joined = exploded.join(F.broadcast(local), "form", "left")
-    else:
-        joined = lookup_join(exploded, lemmas, ["form"], spread=key)
+    joined = exploded.join(lemmas, "form", "left")
     mapped = joined.withColumn("lemma", F.coalesce("lemma", "form")).where(F.trim("lemma") != "")
     # One text's own words only: the list is as long as the text.
     lists = mapped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("_l"))

@@ -151,7 +151,7 @@ def date_range_keep_null(spark, root):
 def takewhile_recent(spark, root):
     day = F.when(F.col("event_type") != "error", F.date_add(F.lit(date(2024, 1, 1)), F.floor("value").cast("int")))
     listed = table(spark, root, "events").select("event_id", "user_id", day.alias("day"))
-    return joins.until_first_below(listed, "user_id", "event_id", "day", date(2024, 1, 3), "event_id")
+    return joins.until_first_below(listed, "user_id", "event_id", "day", date(2024, 1, 3))
 
 
 @query
@@ -319,12 +319,12 @@ def lda_top_words(spark, root):
 
 @query
 def lda_grid(spark, root):
-    return topics.choose_k(word_docs(spark, root), "words", topics=(3, 4), decays=(0.7,), iterations=5)[1]
+    return topics.choose_k(word_docs(spark, root), "words")[1]
 
 
 @query
 def embedding_topics(spark, root):
-    return topics.embedding_topics(table(spark, root, "embeddings"), "embedding", 8, "vec_id")
+    return topics.embedding_topics(table(spark, root, "embeddings"), "embedding", 8, "vec_id", min_similarity=0.25)
 
 
 @query
@@ -339,7 +339,7 @@ def subset_sizes(spark, root):
 
 @query
 def subset_topics(spark, root):
-    return topics.per_subset(word_docs(spark, root), ["lang"], "words", k=3)
+    return topics.per_subset(word_docs(spark, root), ["lang"], "words", topics=(3, 4), decays=(0.7,))
 
 
 @query

@@ -220,9 +220,12 @@ def oracle_sql() -> dict[str, str]:
     heading = r"regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
     sql["page_cards"] = f"""SELECT page_id, 0 AS card, {unescape.format(c=f"(SELECT {edges} FROM (SELECT {heading} AS t))")} AS review_title,
       {unescape.format(c=f"array_to_string({article}, '')")} AS text_positive FROM pages"""
-    sql["page_links"] = r"""WITH a AS (
-        SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*>'),
-          lambda x: replace(regexp_extract(x, '(?i)\shref="([^"]*)"', 1), '&amp;', '&')), lambda h: contains(h, '/')) AS h FROM pages),
+    sql["page_links"] = r"""WITH t AS (
+        SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*>'),
+          lambda x: trim(regexp_extract(x, '(?is)\shref\s*=\s*(.*)>$', 1))) AS tails FROM pages),
+      a AS (SELECT page_id, list_filter(list_transform(tails, lambda r: replace(CASE
+          WHEN r LIKE '"%' THEN split_part(r, '"', 2) WHEN r LIKE '''%' THEN split_part(r, '''', 2)
+          ELSE regexp_extract(r, '^[^\s>]+') END, '&amp;', '&')), lambda h: contains(h, '/')) AS h FROM t),
       u AS (SELECT page_id, unnest(h) AS href, unnest(range(len(h))) AS pos FROM a),
       v AS (SELECT CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://site.example' || href END AS url, page_id, pos FROM u),
       f AS (SELECT url, page_id AS first_page, pos AS first_pos,
@@ -232,7 +235,7 @@ def oracle_sql() -> dict[str, str]:
       regexp_extract_all(replace(split_part(split_part(url, 'https://', 2), '.example.', 1), '-', ' '), '\p{L}+|[^\p{L}]+'),
       lambda w: upper(w[1]) || lower(w[2:])), '') END AS property FROM pages"""
     sql["benchmark_labels"] = """SELECT doc_id, text, 'positive' AS label FROM documents JOIN labels USING (doc_id)
-      WHERE quality = 1 AND text IS NOT NULL ORDER BY md5('42:' || doc_id), doc_id LIMIT 500"""
+      WHERE quality = 1 AND text IS NOT NULL"""
     mark = "CASE WHEN toxic = 1 THEN ' mixed' WHEN quality = 1 THEN ' Positive ' WHEN quality = 0 THEN 'NEGATIVE' END"
     gold = f"SELECT doc_id, lang, coalesce(trim(lower({mark})), '') AS annotation FROM documents LEFT JOIN labels USING (doc_id)"
     sql["gold_rejects"] = f"""SELECT CASE WHEN annotation IN ('', 'nan', 'none') THEN 'blank'
@@ -305,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
     sql["vocabulary"] = f"""WITH {WORDS}, u AS (SELECT review_id, unnest(words) AS term FROM docs),
       c AS (SELECT term, count(*) AS tf, count(DISTINCT review_id) AS df FROM u GROUP BY term)
       SELECT term, tf, df FROM c WHERE df >= 2 AND df <= 0.95 * (SELECT count(*) FROM docs WHERE len(words) > 0)
-      ORDER BY tf DESC, term LIMIT 5000"""
+      ORDER BY tf DESC, term"""
     sql["class_tfidf"] = f"""WITH {WORDS}, u AS (SELECT lang AS cluster, unnest(words) AS word FROM docs),
       t AS (SELECT cluster, word, count(*) AS tf FROM u GROUP BY ALL),
       f AS (SELECT word, sum(tf) AS f FROM t GROUP BY word),

@@ -128,9 +128,9 @@ def extract_links(pages: DataFrame, base: str, key: str = "page_id", html: str =
     wanted = F.filter(
         anchors,
         lambda a: F.when(has_cards, F.contains(a, F.lit(link_mark)))
-        .otherwise(F.contains(F.regexp_extract(a, _HREF, 1), F.lit(path_mark))),
+        .otherwise(F.contains(_href(a), F.lit(path_mark))),
     )
-    hrefs = F.transform(wanted, lambda a: F.replace(F.regexp_extract(a, _HREF, 1), F.lit("&amp;"), F.lit("&")))
+    hrefs = F.transform(wanted, lambda a: F.replace(_href(a), F.lit("&amp;"), F.lit("&")))
     found = pages.select(key, F.posexplode(hrefs).alias("pos", "href")).where(F.col("href") != "")
     url = F.when(F.startswith("href", F.lit("http")), F.col("href")).otherwise(F.concat(F.lit(base), F.col("href")))
     first = found.groupBy(url.alias("url")).agg(F.min(F.struct(key, "pos")).alias("first"))
@@ -138,4 +138,9 @@ def extract_links(pages: DataFrame, base: str, key: str = "page_id", html: str =
     return out if most is None else out.orderBy("first_page", "first_pos").limit(most)
 
 
-_HREF = r'(?i)\shref="([^"]*)"'
+_HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def _href(anchor: Column) -> Column:
+    """The target in double, single or no quotes; empty without one."""
+    return F.concat(*[F.regexp_extract(anchor, _HREF, i) for i in (1, 2, 3)])
