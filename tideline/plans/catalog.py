@@ -83,6 +83,43 @@ def stream_ingest(spark, root):
     return spark.read.schema(schema).parquet(f"{folder}/out").select("event_id", "user_id", "event_type", "value")
 
 
+@query
+def read_reviews_headers(spark, root):
+    """Documents written as CSV under two headers of different columns, read back by name."""
+    folder = scratch_path(spark, "exports")
+    docs = table(spark, root, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs.where("doc_id % 2 = 0").select("doc_id", "lang", "source").write.option("header", True).mode("append").csv(folder)
+    docs.where("doc_id % 2 = 1").select("lang", "n_chars", "doc_id").write.option("header", True).mode("append").csv(folder)
+    return reviews.read_reviews(spark, folder).select("doc_id", "lang", "source", "n_chars")
+
+
+@query
+def append_report(spark, root):
+    folder = scratch_path(spark, "report")
+    sizes = table(spark, root, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    for fresh in (True, True, False):  # the second run starts anew, the third adds to it
+        reviews.append_report(sizes, folder, fresh)
+    return spark.read.parquet(folder)
+
+
+@query
+def tag_by_file(spark, root):
+    folder = scratch_path(spark, "files")
+    table(spark, root, "orders").select("o_orderkey", "o_orderstatus").coalesce(1).write.parquet(folder)
+    files = spark.read.parquet(folder).select(F.col("_metadata.file_name")).distinct().collect()  # one file
+    tagged = reviews.tag_by_file(spark.read.parquet(folder), {r[0]: "pre" for r in files})
+    return tagged.groupBy("temporal_window", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query
+def column_names(spark, root):
+    """An alias resolved, an absent column taken from another, and only the present ones kept."""
+    docs = table(spark, root, "documents").withColumnRenamed("source", "scrape_source")
+    docs = reviews.fallback_column(reviews.resolve_alias(docs, "source"), "language", "lang")
+    docs = reviews.fallback_column(docs, "rating", "absent", "double")
+    return reviews.select_present(docs, ["doc_id", "source", "language", "rating", "not_there"])
+
+
 @query
 def page_cards(spark, root):
     return pages.extract_cards(table(spark, root, "pages"), pages.ARTICLES)
@@ -187,6 +224,15 @@ def italian_dates(spark, root):
     return table(spark, root, "orders").select("o_orderkey", dates.italian_date(written).alias("review_date"))
 
 
+@query
+def strict_dates(spark, root):
+    months = F.array(*[F.lit(m) for m in dates.EN_MONTHS])
+    day = F.to_date("o_orderdate")
+    written = F.concat(F.dayofmonth(day), F.lit(" "), F.element_at(months, F.month(day)), F.lit(" "), F.year(day),
+                       F.when(F.col("o_orderstatus") == "P", F.lit(" late")).otherwise(F.lit("")))
+    return table(spark, root, "orders").select("o_orderkey", dates.strict_italian_date(written).alias("review_date"))
+
+
 @query
 def assign_window(spark, root):
     return observations(spark, root).select("review_id", "temporal_window")
@@ -237,6 +283,20 @@ def strip_quotes(spark, root):
     return table(spark, root, "documents").select("doc_id", text.strip_quotes(quoted).alias("text"))
 
 
+@query
+def slugs(spark, root):
+    return table(spark, root, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" / "), "p_brand")).alias("slug"))
+
+
+@query
+def top_class(spark, root):
+    share = (F.col("p_size") % 3).cast("double")
+    guesses = F.array(*[F.struct(F.lit(name).alias("label"), score.alias("score"))
+                        for name, score in (("SMALL", F.lit(1.0)), ("Mid", share), ("big", F.lit(0.5)))])
+    best = labels.top_class(guesses)
+    return table(spark, root, "part").select("p_partkey", best["label"].alias("label"), best["score"].alias("score"))
+
+
 @query
 def star_sentiment(spark, root):
     return observations(spark, root).select("review_id", "sentiment_label", "sentiment_score")
@@ -319,7 +379,7 @@ def lda_top_words(spark, root):
 
 @query
 def lda_grid(spark, root):
-    return topics.choose_k(word_docs(spark, root), "words")[1]
+    return topics.choose_k(word_docs(spark, root), "words", iterations=5, parallel=8)[1]
 
 
 @query

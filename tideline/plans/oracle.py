@@ -261,6 +261,19 @@ def oracle_sql() -> dict[str, str]:
 
     sql["italian_dates"] = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS review_date FROM orders"
     sql["assign_window"] = f"WITH {OBS} SELECT review_id, temporal_window FROM obs"
+    sql["read_reviews_headers"] = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang,
+      CASE WHEN doc_id % 2 = 0 THEN source END AS source, CASE WHEN doc_id % 2 = 1 THEN CAST(n_chars AS VARCHAR) END AS n_chars
+      FROM documents"""
+    sql["append_report"] = """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1)
+      SELECT * FROM c UNION ALL SELECT * FROM c"""
+    sql["tag_by_file"] = "SELECT 'pre' AS temporal_window, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL"
+    sql["column_names"] = "SELECT doc_id, source, lang AS language, CAST(NULL AS DOUBLE) AS rating FROM documents"
+    sql["strict_dates"] = """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS review_date
+      FROM orders"""
+    sql["slugs"] = r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^\p{L}\p{N}_]+', '_', 'g'), '_') AS slug
+      FROM part"""
+    sql["top_class"] = """SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN 'mid' ELSE 'small' END AS label,
+      CASE WHEN p_size % 3 = 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM part"""
     sql["clean_text"] = f"SELECT doc_id AS review_id, {CLEAN.format(c='text')} AS clean FROM documents"
     stop = _list(stopwords("italian", "english"))
     sql["stopword_filter"] = f"""SELECT doc_id AS review_id,

@@ -46,12 +46,12 @@ def local_session(cores: int | None = None, **conf: str) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder named by ``spark.checkpoint.dir``.
 
-    Every executor must see it, so an unset folder is an error on a cluster; a local
-    session falls back to a new temporary folder.
+    Every executor must see it, so an unset folder is an error on a cluster; a session of
+    one process falls back to a new temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tideline-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
