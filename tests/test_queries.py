@@ -45,3 +45,24 @@ def test_scans_read_only_needed_columns(spark, data):
     plan = catalog.QUERIES["volumetric"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey" not in plan
     assert "o_totalprice" not in plan and "o_orderpriority" in plan
+
+
+# Queries whose feature is a fit or a written table; all others must only plan.
+ACTING = ROWS_ONLY | {"roundtrip_stage", "stream_ingest", "read_reviews_headers", "append_report", "tag_by_file"}
+
+
+def test_building_a_query_only_reads_schemas(spark, data, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    reads, parquet = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *a, **k: reads.append(a) or parquet(self, *a, **k))
+    more = {}
+    for name in sorted(set(catalog.QUERIES) - ACTING):
+        reads.clear()
+        spark.sparkContext.setJobGroup(f"build {name}", name)
+        catalog.QUERIES[name](spark, data)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"build {name}"))
+        if jobs > len(reads):
+            more[name] = jobs
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert more == {}
