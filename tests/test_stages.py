@@ -53,6 +53,16 @@ def test_preprocess(spark, raw):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_tables_give_what_lists_give(spark, raw):
+    lemmas = spark.createDataFrame([("it", k, v) for k, v in RESOURCES.lemmas["it"].items()], "language string, form string, lemma string")
+    lexicon = spark.createDataFrame(list(RESOURCES.lexicon.items()), "word string, weight double")
+    tables = Resources(lemma_table=lemmas, lexicon=lexicon, emotion_lists=RESOURCES.emotion_lists)
+    kept = ["review_id", "text_positive_lemma", "sentiment_label", "sentiment_score"]
+    fixed = raw.withColumn("review_id", F.monotonically_increasing_id()).cache()
+    one, two = (score(preprocess(fixed, DESIGN, r), r).select(*kept).orderBy("review_id").collect() for r in (RESOURCES, tables))
+    assert one == two
+
+
 def stars():
     return lambda texts: [{"label": "5 stars" if "bello" in t else "1 star", "score": 0.9} for t in texts]
 

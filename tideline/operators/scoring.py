@@ -99,10 +99,14 @@ def _polarity_columns(df: DataFrame, cut: float) -> DataFrame:
 
 
 def lemmatize_table(df: DataFrame, words: str, lemmas: DataFrame, key: str = "review_id",
-                    out: str = "lemmas") -> DataFrame:
-    """Lemma of each word from a table (form, lemma) of any size; unknown words stay."""
-    exploded = df.select(key, F.posexplode(words).alias("pos", "form"))
-    joined = exploded.join(lemmas, "form", "left")
+                    out: str = "lemmas", language: str | None = None) -> DataFrame:
+    """Lemma of each word from a table (form, lemma) of any size; unknown words stay.
+
+    With ``language``, a column of df, the table also has a language, which must agree.
+    """
+    same = [F.col(language).alias("language")] if language else []
+    exploded = df.select(key, *same, F.posexplode(words).alias("pos", "form"))
+    joined = exploded.join(lemmas, ["form", "language"] if language else "form", "left")
     mapped = joined.withColumn("lemma", F.coalesce("lemma", "form")).where(F.trim("lemma") != "")
     # One text's own words only: the list is as long as the text.
     lists = mapped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("_l"))

@@ -25,11 +25,16 @@ FIXED_TOPICS = 10
 
 @dataclass
 class Resources:
-    """Word lists and models. Without models the word lists score."""
+    """Word lists and models. Without models the word lists score.
+
+    Large lists are tables: ``lexicon`` may be one of (word, weight), and ``lemma_table``
+    one of (language, form, lemma), used in place of ``lemmas``.
+    """
 
     languages: dict[str, str] = field(default_factory=lambda: {"it": "italian", "en": "english"})
     lemmas: dict[str, dict[str, str]] = field(default_factory=dict)
-    lexicon: dict[str, float] = field(default_factory=dict)
+    lexicon: dict[str, float] | DataFrame = field(default_factory=dict)
+    lemma_table: DataFrame | None = None
     emotion_lists: dict[str, dict[str, list[str]]] = field(default_factory=dict)
     star_model: Factory | None = None
     emotion_models: dict[str, Factory] = field(default_factory=dict)
@@ -64,7 +69,11 @@ def preprocess(raw: DataFrame, design: StudyDesign, resources: Resources) -> Dat
     df = df.withColumns({f"{c}_words": text.tokens(text.clean_text(c)) for c in present})
     df = df.withColumns({f"{c}_language": scoring.language_vote(f"{c}_words", lists) for c in present})
     df = df.withColumns({f"{c}_clean": text.remove_words(f"{c}_words", drop) for c in present})
-    df = df.withColumns({f"{c}_lemma": _lemma(f"{c}_clean", f"{c}_language", resources) for c in present})
+    if resources.lemma_table is None:
+        df = df.withColumns({f"{c}_lemma": _lemma(f"{c}_clean", f"{c}_language", resources) for c in present})
+    else:
+        for c in present:
+            df = scoring.lemmatize_table(df, f"{c}_clean", resources.lemma_table, out=f"{c}_lemma", language=f"{c}_language")
     df = text.add_features(df)
     return df.drop(*[f"{c}_words" for c in present])
 
@@ -92,6 +101,8 @@ def score(processed: DataFrame, resources: Resources, column: str = "text_positi
     if resources.star_model is not None:
         df = scoring.score_text(df, "_text", resources.star_model, resources.batch_size, resources.max_chars, "_stars", "_star_score")
         df = scoring.star_sentiment(df, "_stars").drop("_stars", "_star_score")
+    elif isinstance(resources.lexicon, DataFrame):
+        df = scoring.lexicon_sentiment_table(df, lemma, resources.lexicon)
     else:
         df = scoring.lexicon_sentiment(df, lemma, resources.lexicon)
     if resources.emotion_models:
