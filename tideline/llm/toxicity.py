@@ -235,9 +235,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
     ready = with_features(rows, lexicon).select(
         array_to_vector("__features").alias("__vector"), F.col("toxic").cast("double").alias("toxic"), "fold")
     ready = saved(ready, "features")
-    model = GBTClassifier(featuresCol="__vector", labelCol="toxic", predictionCol="__class", rawPredictionCol="__margin",
-                          probabilityCol="__probability", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed,
-                          minInstancesPerNode=5).fit(ready.where("fold > 0").coalesce(2))
+    boosting = GBTClassifier(featuresCol="__vector", labelCol="toxic", predictionCol="__class", maxIter=trees, maxDepth=depth,
+                             stepSize=0.3, seed=seed, minInstancesPerNode=5)
+    boosting.setRawPredictionCol("__margin").setProbabilityCol("__probability")
+    model = boosting.fit(ready.where("fold > 0").coalesce(2))
     held = model.transform(ready.where("fold = 0")).withColumn("__raw", vector_to_array("__probability")[1])
     both = held.agg(F.count("*"), F.sum("toxic")).first()
     calibration = None
