@@ -29,8 +29,8 @@ from tideline.session import scratch_path
 
 MAGIC = b"TLPLANE1"
 BLOCK_IDS = 65_536
-CACHED = 1_000_000  # segments that a worker remembers
-ENCODE_BYTES = 4 << 20
+CACHED = 500_000  # segments that a worker remembers
+ENCODE_BYTES = 1 << 20
 
 
 class PlaneWriter:
