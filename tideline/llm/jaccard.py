@@ -12,7 +12,7 @@ two linked sizes can have and, where many, into blocks; a tile is a pair of bloc
 tile, bit counts of hashed bitmaps bound each overlap from above; only pairs that the
 bound lets through are intersected. Texts with equal sets are one node. Before the
 tiles, members of a group are compared with one leader, and groups that are one
-component already have nothing left to tell.
+component already have nothing left to tell; nor has a group with the members of another.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import words as W
-from tideline.llm.tables import components, map_groups, saved
+from tideline.llm.tables import bits_hold, components, id_bits, map_groups, maybe_in, saved
 
 BLOCK = 512
+SPANNING_ROUNDS = 6
+MAP_BYTES = 2  # bytes of bitmap for each part: some bits for each element
 _MOST_BITS = 40
 
 
@@ -106,7 +108,7 @@ def shingle_postings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, band, sorted set, and its bitmap of 2**q bytes."""
+    """doc_id, n, band, sorted set, and its bitmap of 2 * 2**q bytes."""
     log_ratio = np.log(den / num * 1.001)
 
     def run(batches):
@@ -114,7 +116,7 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             for lo, hi, data, offsets in W.slices(batch.column("text")):
                 sets, bounds = _shingles(data, offsets, k)
                 sizes = np.diff(bounds)
-                width = 1 << _part_bits(_limits(num, den, sizes))
+                width = MAP_BYTES << _part_bits(_limits(num, den, sizes))
                 maps = []
                 for i in range(hi - lo):
                     bits = np.zeros(int(width[i]), np.uint8)
@@ -155,41 +157,56 @@ def _fold(bits: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, width), axis=0)
 
 
-def _tile_pairs(rows: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that the bit counts cannot rule out."""
+def _tile_pairs(rows: pa.Table, num: int, den: int, spanning: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different roots in a tile that the bit counts cannot rule out.
+
+    With ``spanning`` two roots once paired count as one, so that a tile gives fewer pairs
+    than it has rows; pairs skipped on a promise that fails come up in the next round.
+    """
     ids, n, root, home, block = (rows.column(c).to_numpy() for c in ("doc_id", "n", "root", "home", "block"))
-    raw = rows.column("bits").to_pylist()
+    raw, failed = rows.column("bits").to_pylist(), rows.column("failed").to_pylist()
     width = min(map(len, raw))
-    bits = np.stack([_fold(b, width) for b in raw])
-    if width % 8 == 0:
-        bits = bits.view(np.uint64)
+    bits = np.stack([_fold(b, width) for b in raw]).view(np.uint64)
     crossed = block.min() != block.max()
+    root = root.copy()
     out_a, out_b = [], []
     for i in range(len(ids) - 1):
-        rest = slice(i + 1, None)
-        more = np.bitwise_count(bits[i] & ~bits[rest]).sum(axis=1, dtype=np.int64)
-        less = np.bitwise_count(bits[rest] & ~bits[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(n[i] - more, n[rest] - less)
-        ok = ((num + den) * most >= num * (n[i] + n[rest])) & (root[rest] != root[i]) & (home[i] | home[rest])
+        later = i + 1 + np.flatnonzero((root[i + 1:] != root[i]) & (home[i] | home[i + 1:]))
         if crossed:
-            ok &= block[rest] != block[i]
-        at = np.flatnonzero(ok) + i + 1
-        out_a.append(np.minimum(ids[i], ids[at]))
-        out_b.append(np.maximum(ids[i], ids[at]))
+            later = later[block[later] != block[i]]
+        if failed[i]:
+            later = later[~np.isin(ids[later], failed[i])]
+        if not len(later):
+            continue
+        both = np.bitwise_count(bits[i] & bits[later]).sum(axis=1, dtype=np.int64)
+        own, other = int(np.bitwise_count(bits[i]).sum()), np.bitwise_count(bits[later]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(n[i] - (own - both), n[later] - (other - both))
+        spare = (num + den) * most - num * (n[i] + n[later])
+        near, spare = later[spare >= 0], spare[spare >= 0]
+        while len(near):
+            taken = near[[np.argmax(spare)]] if spanning else near
+            out_a.append(np.minimum(ids[i], ids[taken]))
+            out_b.append(np.maximum(ids[i], ids[taken]))
+            if not spanning:
+                break
+            root[root == root[taken[0]]] = root[i]
+            rest = root[near] != root[i]
+            near, spare = near[rest], spare[rest]
     if out_a:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
 
-def tile_candidates(grouped: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a, b) of different roots from groups (post, doc_id, root).
+def tile_candidates(grouped: DataFrame, sets: DataFrame, num: int, den: int, failed: DataFrame | None = None,
+                    spanning: bool = False, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (a, b) of different roots from groups (post, doc_id, root), without those of ``failed``.
 
     A band meets itself and the next: a tile holds a band's sets and, as guests, those one
     band above. Tiles of more than ``block`` sets become tiles of pairs of blocks.
     """
     rows = grouped.join(sets.select("doc_id", "n", "band"), "doc_id")
-    rows = rows.select("post", "doc_id", "root", "n", F.explode(F.array(
+    rows = rows.select("post", "doc_id", "root", "n", F.inline(F.array(
         F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")),
-        F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("home")))).alias("at")).select("*", "at.*").drop("at")
+        F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("home")))))
     rows = saved(rows, "tile_rows")
     counts = rows.groupBy("post", "tile").agg(
         F.count("*").alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("home").alias("homes"))
@@ -198,12 +215,59 @@ def tile_candidates(grouped: DataFrame, sets: DataFrame, num: int, den: int, blo
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).withColumns({
         "i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rows = rows.join(sets.select("doc_id", "bits"), "doc_id")
-    keyed = rows.select("post", "tile", "i", "j", "doc_id", "n", "root", "home", "block", "bits")
-    found = map_groups(keyed, ["post", "tile", "i", "j"], lambda t: _tile_pairs(t, num, den), "a long, b long")
+    held = sets.select("doc_id", "bits")
+    if failed is None:
+        held = held.withColumn("failed", F.array().cast("array<long>"))
+    else:
+        both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lists = both.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("failed"))
+        held = held.join(lists, "doc_id", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<long>")))
+    rows = rows.join(held, "doc_id")
+    keyed = rows.select("post", "tile", "i", "j", "doc_id", "n", "root", "home", "block", "bits", "failed")
+    found = map_groups(keyed, ["post", "tile", "i", "j"], lambda t: _tile_pairs(t, num, den, spanning), "a long, b long")
     return found.where("a <> b").distinct()
 
 
+def _spread(table: DataFrame, without: np.ndarray | None, posts: np.ndarray | None) -> DataFrame:
+    """(post, doc_id) of the rows whose digest ``without`` does not hold, of posts that ``posts`` may hold."""
+    skip, keep = (table.sparkSession.sparkContext.broadcast(b) for b in (without, posts))
+
+    def run(batches):
+        for batch in batches:
+            if skip.value is not None:
+                batch = batch.filter(pa.array(~bits_hold(batch.column("d1"), skip.value)))
+            lists = batch.column("posts")
+            post = lists.flatten()
+            doc = pa.array(np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())))
+            out = pa.RecordBatch.from_arrays([post, doc], ["post", "doc_id"])
+            yield out if keep.value is None else out.filter(pa.array(bits_hold(post, keep.value)))
+
+    return table.select("d1", "doc_id", "posts").mapInArrow(run, "post long, doc_id long")
+
+
+def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    named = shared.select("post", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return saved(named.select("post", "doc_id", F.coalesce("component", "doc_id").alias("root")), "named_groups")
+
+
+def _open_groups(rooted: DataFrame) -> DataFrame:
+    """Groups that are not yet one component; of several with the same members, one."""
+    groups = rooted.groupBy("post").agg(
+        F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"))
+    chosen = groups.where("r0 <> r1").groupBy("size", "x", "y").agg(F.min("post").alias("post"))
+    return rooted.join(chosen.select("post"), "post", "left_semi")
+
+
+def _with_leaders(ranked: DataFrame) -> DataFrame:
+    """For each document, a pair with the leader it shares most groups with; leaders rank highest in a group."""
+    lead = ranked.groupBy("post").agg(F.max(F.struct("rank", "doc_id", "root")).alias("lead"))
+    lead = lead.select("post", F.col("lead.doc_id").alias("leader"), F.col("lead.root").alias("lead_root"))
+    pairs = ranked.join(lead, "post").where("root <> lead_root").groupBy("doc_id", "leader").count()
+    best = pairs.groupBy("doc_id").agg(F.max(F.struct("count", "leader"))["leader"].alias("leader"))
+    return best.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id.
 
@@ -215,25 +279,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     """
     table = saved(shingle_postings(docs, k, num, den), "postings")
     whole = table.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = saved(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    held = whole.join(nodes, ["n", "d1", "d2", "doc_id"], "left_semi")
-    posts = held.select("doc_id", F.explode("posts").alias("post"))
-    leaders = posts.groupBy("post").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
-    shared = saved(posts.join(leaders.where("lead < last").select("post", "lead"), "post").distinct(), "shared")
-
-    wanted = docs.where("doc_id IS NOT NULL").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = saved(shingle_sets(wanted, k, num, den), "sets")
-    favourite = shared.where("lead < doc_id").groupBy("doc_id", "lead").count()
-    favourite = favourite.groupBy("doc_id").agg(F.max(F.struct("count", "lead"))["lead"].alias("a"))
-    near = saved(verified(favourite.select("a", F.col("doc_id").alias("b")), sets, num, den), "near")
-    roots = components(near, "near")
-
-    labelled = shared.select("post", "doc_id").join(
-        roots.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    labelled = saved(labelled.select("post", "doc_id", F.coalesce("component", "doc_id").alias("root")), "labelled")
-    open_posts = labelled.groupBy("post").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    pairs = saved(tile_candidates(labelled.join(open_posts, "post", "left_semi"), sets, num, den), "candidates")
-    links = saved(near.unionByName(verified(pairs, sets, num, den)), "links")
+    nodes = saved(whole.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")), "nodes")
+    copied = id_bits(nodes.where("rows > 1"), "d1")
+    once = maybe_in(whole, "d1", copied).join(nodes, ["n", "d1", "d2", "doc_id"], "left_semi").select("d1", "doc_id", "posts")
+    once = once.dropDuplicates(["doc_id", "d1"])
+    spread = lambda posts=None: _spread(whole, copied, posts).unionByName(_spread(once, None, posts))
+    groups = saved(spread().groupBy("post").agg(F.count("*").alias("size")).where("size > 1"), "groups")
+    shared = saved(spread(id_bits(groups, "post")).join(groups, "post").distinct(), "shared")
+
+    known = id_bits(shared, "doc_id")
+    wanted = maybe_in(docs.select("doc_id", "text"), "doc_id", known)
+    sets = saved(shingle_sets(wanted.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), k, num, den), "sets")
+    popular = shared.groupBy("doc_id").agg(F.sum("size").alias("rank"))  # the original of a family shares most
+    ranks = [popular, popular.select("doc_id", F.xxhash64("doc_id").alias("rank"))]
+    rooted = shared.select("post", "doc_id", F.col("doc_id").alias("root"))
+    links = None
+    for rank in ranks:
+        pairs = _with_leaders(rooted.join(rank, "doc_id"))
+        near = saved(verified(pairs, sets, num, den), "near")
+        links = near if links is None else saved(links.unionByName(near), "links")
+        rooted = saved(_open_groups(_rooted(shared, components(links, "near"))), "rooted")
+    failed = None
+    for turn in range(SPANNING_ROUNDS + 1):
+        spanning = turn < SPANNING_ROUNDS
+        candidates = saved(tile_candidates(rooted, sets, num, den, failed, spanning), "candidates")
+        if candidates.isEmpty():
+            break
+        found = saved(verified(candidates, sets, num, den), "found")
+        links = saved(links.unionByName(found), "links")
+        if not spanning:
+            break
+        wrong = candidates.join(found, ["a", "b"], "left_anti")
+        failed = saved(wrong if failed is None else failed.unionByName(wrong), "failed")
+        rooted = saved(_open_groups(_rooted(shared, components(links, "near"))), "rooted")
 
     final = components(links, "linked").select(F.col("node").alias("doc_id"), "component")
     named = nodes.join(final, "doc_id", "left").select(

@@ -149,6 +149,19 @@ def maybe_in(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose id is not in ``ids``; only rows that may be are shuffled to find out."""
+    bits = id_bits(ids, column)
+    held = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~bits_hold(batch.column(column), held.value)))
+
+    unsure = maybe_in(df, column, bits).join(ids, column, "left_anti")
+    return df.mapInArrow(run, df.schema).unionByName(unsure.select(*df.columns))
+
+
 def in_doc_order(docs: DataFrame) -> DataFrame:
     """Rows by ascending doc_id over the partitions and within them; nulls first, ties by a hash of the text."""
     tied = docs.withColumn("__tie", F.xxhash64("text")).repartitionByRange("doc_id", "__tie")
