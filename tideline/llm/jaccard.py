@@ -28,7 +28,7 @@ from tideline.llm import words as W
 from tideline.llm.tables import bits_hold, components, id_bits, map_groups, maybe_in, saved
 
 BLOCK = 512
-SPANNING_ROUNDS = 6
+SPANNING_ROUNDS = 2
 MAP_BYTES = 2  # bytes of bitmap for each part: some bits for each element
 _MOST_BITS = 40
 
