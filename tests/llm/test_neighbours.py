@@ -46,3 +46,14 @@ def test_recall_of_the_table(spark):
     assert got.keys() == want.keys() and all(len(a) == 20 for a in got.values())
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits / (20 * len(want)) >= .9
+
+
+def test_nearness_keeps_its_digits_with_one_long_vector(spark):
+    x = np.random.default_rng(3).standard_normal((50, 16)).astype(np.float32)
+    x[0] *= 1e4
+    nodes = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "node long, v array<double>")
+    kept = nn._packed(nodes, 2.0 ** 16).orderBy("node").toArrow()
+    got = nn._closeness(nn._points(kept.column("q")), float(np.linalg.norm(x[0].astype(float))) / 2.0 ** 16)[1:, 1:]
+    far = ((x[1:, None].astype(float) - x[None, 1:]) ** 2).sum(axis=2)
+    np.fill_diagonal(far, np.inf)
+    assert (got.argsort(axis=1)[:, ::-1] == far.argsort(axis=1)).all()

@@ -7,8 +7,10 @@ and pairs of which one is new there are offered to each other. A query then sear
 greedily: it joins the neighbours of its best nodes and goes on from those that are new.
 
 Lists are capped, which is the method; all vectors are indexed and all queries answered.
-The graph works on components rounded to a byte, with exact sums of whole numbers; scores
-of the result are products of the original vectors in double precision.
+The graph works on components in single precision and compares them in double precision:
+nodes by minus half the squared distance on the sphere, which keeps its digits when one
+long vector makes the sphere large. Scores of the result are products of the original
+vectors in double precision.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ TREES, LEAF = 20, 256  # random splits that start the graph, and nodes of a leaf
 ROUNDS = 3
 OFFER = 14  # partners that a node is offered in one gathering
 STEPS = 2  # of the search
-_NONE = -(2**31)
-_LISTS = "node long, ids array<long>, scores array<int>, born int"
+_NONE = float("-inf")
+_LISTS = "node long, ids array<long>, scores array<double>, born int"
 
 
 def _parts(rows: DataFrame) -> DataFrame:
@@ -46,14 +48,13 @@ def _usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.dropDuplicates(["id"])
 
 
-def _rounded(nodes: DataFrame, radius: float, unit: float, on_sphere: bool) -> DataFrame:
-    """(node, q): bytes of the rounded vector and its coordinate off the plane, 0 for queries."""
+def _packed(nodes: DataFrame, unit: float) -> DataFrame:
+    """(node, q): the vector over ``unit``, a power of two, as bytes of single precision."""
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
-            more = np.sqrt(np.maximum(radius**2 - (v**2).sum(axis=1), 0)) if on_sphere else np.zeros(n)
-            q = np.rint(np.column_stack([v, more]) * (127 / unit)).clip(-127, 127).astype(np.int8)
+            q = (v / unit).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in q], pa.binary())], ["node", "q"])
 
     return nodes.select("node", "v").mapInArrow(run, "node long, q binary")
@@ -61,7 +62,21 @@ def _rounded(nodes: DataFrame, radius: float, unit: float, on_sphere: bool) -> D
 
 def _points(column: pa.ChunkedArray) -> np.ndarray:
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1).astype(np.float32)
+    return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+
+
+def _off_plane(square: np.ndarray, radius: float) -> np.ndarray:
+    """The coordinate that puts vectors with these squared lengths on the sphere."""
+    return np.sqrt(np.maximum(radius**2 - square, 0))
+
+
+def _closeness(x: np.ndarray, radius: float) -> np.ndarray:
+    """Minus half the squared distances on the sphere; none with itself."""
+    square = (x * x).sum(axis=1)
+    off = _off_plane(square, radius)
+    scores = x @ x.T - (square[:, None] + square) / 2 - (off[:, None] - off) ** 2 / 2
+    np.fill_diagonal(scores, _NONE)
+    return scores
 
 
 def _offers(ids: np.ndarray, partners: np.ndarray, scores: np.ndarray, least: np.ndarray, most: int, born: int):
@@ -73,12 +88,12 @@ def _offers(ids: np.ndarray, partners: np.ndarray, scores: np.ndarray, least: np
     bounds = np.concatenate([[0], np.cumsum(good.sum(axis=1))]).astype(np.int32)
     found = pa.RecordBatch.from_arrays([
         pa.array(ids), pa.ListArray.from_arrays(pa.array(bounds), pa.array(partners[top[good]])),
-        pa.ListArray.from_arrays(pa.array(bounds), pa.array(best[good].astype(np.int32))),
+        pa.ListArray.from_arrays(pa.array(bounds), pa.array(best[good].astype(np.float64))),
         pa.array(np.full(len(ids), born, np.int32))], ["node", "ids", "scores", "born"])
     return found.filter(pa.array(good.any(axis=1)))
 
 
-def _first_lists(points: DataFrame, n: int, seed: int) -> DataFrame:
+def _first_lists(points: DataFrame, n: int, radius: float, seed: int) -> DataFrame:
     """Offers from the leaves of random splits."""
     bits = max(0, round(math.log2(max(n, 1) / LEAF)))
     trees = TREES if bits else 1
@@ -88,6 +103,7 @@ def _first_lists(points: DataFrame, n: int, seed: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             x = _points(pa.chunked_array([batch.column("q")]))
+            x = np.column_stack([x, _off_plane((x * x).sum(axis=1), radius)])
             for tree in range(trees):
                 across = np.random.default_rng([seed, tree]).standard_normal((x.shape[1], bits)).astype(np.float32)
                 leaf = ((x @ across > 0) << np.arange(bits)).sum(axis=1).astype(np.int64)
@@ -97,9 +113,7 @@ def _first_lists(points: DataFrame, n: int, seed: int) -> DataFrame:
     def pair(leaf: pa.Table):
         ids, x = leaf.column("node").to_numpy(), _points(leaf.column("q"))
         if len(ids) > 1:
-            scores = x @ x.T
-            np.fill_diagonal(scores, _NONE)
-            yield _offers(ids, ids, scores, np.full(len(ids), _NONE), OFFER if bits else KEEP, 0)
+            yield _offers(ids, ids, _closeness(x, radius), np.full(len(ids), _NONE), OFFER if bits else KEEP, 0)
 
     rows = points.mapInArrow(split, "tree long, leaf long, node long, q binary")
     return map_groups(rows, ["tree", "leaf"], pair, _LISTS, most=4 * LEAF)
@@ -112,18 +126,18 @@ def _merged(offers: DataFrame, keep: int) -> DataFrame:
         ids = rows.column("ids").combine_chunks().flatten().to_numpy()
         scores = rows.column("scores").combine_chunks().flatten().to_numpy()
         born = np.repeat(rows.column("born").to_numpy(), lengths)
-        order = np.lexsort((born, ids, -scores.astype(np.int64)))
+        order = np.lexsort((born, ids, -scores))
         ids, scores, born = ids[order], scores[order], born[order]
         fresh = np.ones(len(ids), bool)
         fresh[1:] = ids[1:] != ids[:-1]  # equal ids have equal scores and stand together
         at = np.flatnonzero(fresh)[:keep]
         yield pa.RecordBatch.from_arrays([
             rows.column("node").combine_chunks().slice(0, 1), pa.array([ids[at].tolist()], pa.list_(pa.int64())),
-            pa.array([scores[at].tolist()], pa.list_(pa.int32())), pa.array([born[at].tolist()], pa.list_(pa.int32())),
-            pa.array([int(scores[at[-1]]) if len(at) == keep else _NONE], pa.int32())],
+            pa.array([scores[at].tolist()], pa.list_(pa.float64())), pa.array([born[at].tolist()], pa.list_(pa.int32())),
+            pa.array([float(scores[at[-1]]) if len(at) == keep else _NONE], pa.float64())],
             ["node", "ids", "scores", "borns", "least"])
 
-    return map_groups(offers, ["node"], merge, "node long, ids array<long>, scores array<int>, borns array<int>, least int")
+    return map_groups(offers, ["node"], merge, "node long, ids array<long>, scores array<double>, borns array<int>, least double")
 
 
 def _as_offers(graph: DataFrame) -> DataFrame:
@@ -145,9 +159,9 @@ def _gathered(graph: DataFrame, points: DataFrame, turn: int) -> DataFrame:
     return both.join(held, "node").select("at", "node", "q", "least", "new", F.lit(False).alias("asks"))
 
 
-def neighbour_graph(points: DataFrame, n: int, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
+def neighbour_graph(points: DataFrame, n: int, radius: float, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
     """node, ids, scores, borns, least: each node's neighbours, best first."""
-    graph = saved(_merged(_first_lists(points, n, seed), KEEP), "graph")
+    graph = saved(_merged(_first_lists(points, n, radius, seed), KEEP), "graph")
     if n <= LEAF:
         return graph  # one leaf held them all
     for turn in range(rounds):
@@ -157,9 +171,8 @@ def neighbour_graph(points: DataFrame, n: int, rounds: int = ROUNDS, seed: int =
             np.logical_or.at(new, np.searchsorted(ids, rows.column("node").to_numpy()), rows.column("new").to_numpy(zero_copy_only=False))
             x, least = _points(rows.column("q"))[first], rows.column("least").to_numpy()[first]
             if len(ids) > 1:
-                scores = x @ x.T
+                scores = _closeness(x, radius)
                 scores[~(new[:, None] | new)] = _NONE
-                np.fill_diagonal(scores, _NONE)
                 yield _offers(ids, ids, scores, least, OFFER, turn + 1)
 
         offers = map_groups(_gathered(graph, points, turn), ["at"], offer, _LISTS)
@@ -203,12 +216,12 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     rows = _parts(_usable(vectors, key, vector))
     nodes = rows.where("v IS NOT NULL").select("node", "v")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, radius, unit = nodes.agg(F.count("*"), F.sqrt(F.max(square)), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    unit = max(unit or 1.0, math.sqrt(max((radius or 0) ** 2 - nodes.agg(F.min(square)).first()[0], 0)) if n else 1.0)
-    points = saved(_rounded(nodes, radius or 1.0, unit, True), "points")
-    graph = neighbour_graph(points, n, seed=seed)
+    n, radius, most = nodes.agg(F.count("*"), F.sqrt(F.max(square)), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    unit = 2.0 ** math.ceil(math.log2(most)) if most else 1.0
+    points, radius = saved(_packed(nodes, unit), "points"), (radius or 0.0) / unit
+    graph = neighbour_graph(points, n, radius, seed=seed)
     asked = rows.where(F.col("id") % every == 0).select("node").distinct()
-    queries = saved(_rounded(nodes.join(asked, "node"), radius or 1.0, unit, False), "queries")
+    queries = saved(points.join(asked, "node"), "queries")
     found = search(graph, points, queries, keep=max(KEEP, 2 * k))
 
     # its own node is a candidate too: rows with an equal vector
