@@ -57,3 +57,25 @@ def test_nearness_keeps_its_digits_with_one_long_vector(spark):
     far = ((x[1:, None].astype(float) - x[None, 1:]) ** 2).sum(axis=2)
     np.fill_diagonal(far, np.inf)
     assert (got.argsort(axis=1)[:, ::-1] == far.argsort(axis=1)).all()
+
+
+def recall(spark, rows):
+    got, want = answers(nn.nearest(spark.createDataFrame([(i, v, "x", 1) for i, v in rows], KIND))), exact(rows, 20, 20)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    print("recall", hits / (20 * len(want)))
+    return hits / (20 * len(want))
+
+
+def test_recall_with_one_long_vector(spark, monkeypatch):
+    monkeypatch.setattr(nn, "ENTRIES", 32)  # a small part of the table
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, [x * (1000 if r.vec_id == 7 else 1) for x in r.embedding]) for r in table.collect()]
+    assert recall(spark, rows) >= .9
+
+
+def test_recall_in_one_dense_cluster(spark, monkeypatch):
+    monkeypatch.setattr(nn, "ENTRIES", 32)
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(64)
+    rows = [(i, [float(x) for x in np.float32(centre + .1 * rng.standard_normal(64))]) for i in range(3000)]
+    assert recall(spark, rows) >= .9
