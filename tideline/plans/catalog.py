@@ -379,7 +379,7 @@ def lda_top_words(spark, root):
 
 @query
 def lda_grid(spark, root):
-    return topics.choose_k(word_docs(spark, root), "words", iterations=5, parallel=8)[1]
+    return topics.choose_k(word_docs(spark, root), "words", parallel=8)[1]
 
 
 @query
@@ -399,7 +399,7 @@ def subset_sizes(spark, root):
 
 @query
 def subset_topics(spark, root):
-    return topics.per_subset(word_docs(spark, root), ["lang"], "words", topics=(3, 4), decays=(0.7,))
+    return topics.per_subset(word_docs(spark, root), ["lang"], "words")
 
 
 @query
