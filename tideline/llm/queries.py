@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from tideline.llm import bitplanes, fingerprints, jaccard, language_model, mixing, neighbours, pieces, sharding, substrings, toxicity
+from tideline.llm import bitplanes, bpe, fingerprints, jaccard, language_model, mixing, neighbours, pieces, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,12 @@ def op10_nearest_neighbours(spark, root):
 @query
 def op5_language_model(spark, root):
     return language_model.score_texts(documents(spark, root))
+
+
+@query
+def op11_bpe(spark, root):
+    vocabulary = bpe.load_vocabulary(tokenizer_path("byte_bpe_50k.json"))
+    encoded = bpe.encode_texts(documents(spark, root).select("doc_id", "text"), vocabulary).drop("text")
+    both = bpe.decode_texts(encoded, vocabulary)
+    return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
