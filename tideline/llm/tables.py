@@ -17,7 +17,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, read again after a lost executor."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables written by :func:`saved` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
