@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from tideline.llm import bitplanes, bpe, fingerprints, jaccard, language_model, merkle, mixing, neighbours, pieces, sharding, substrings, toxicity
+from tideline.llm import bitplanes, bpe, fingerprints, jaccard, language_model, merkle, mixing, neighbours, pieces, sharding, substrings, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,3 +161,8 @@ SELECT doc_id, leaf, s.node AS subroot, t.node AS root, coalesce(proof, sha256('
   f.node AS folded_root, f.node = t.node AS verified
 FROM placed p JOIN folded f USING (grp, pos) LEFT JOIN proofs USING (grp, pos)
 JOIN (SELECT grp, node FROM low WHERE n = 1) s USING (grp), (SELECT node FROM top WHERE n = 1) t"""
+
+
+@query
+def op13_embedding_whitening(spark, root):
+    return whitening.whiten(spark.read.parquet(f"{root}/embeddings.parquet"))
