@@ -59,3 +59,35 @@ def test_plan_has_no_python(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_three_hundred_sources(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'hot', CONCAT('s', id % 299)) AS source")
+    got = mixing.mix_sources(docs).collect()
+    assert len({r.source for r in got}) == 300 and len({r.doc_id for r in got}) == len(got) == 3000
+    many = spark.range(1200).selectExpr("id AS doc_id", "CONCAT('s', id % 300) AS source")
+    got = mixing.mix_sources(many, block_rows=1).collect()
+    assert all(r.release <= r.slot < r.deadline for r in got) and len({r.slot for r in got}) == 1200
+
+
+def test_small_tables_are_interleaved(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
+    rows = sorted(mixing.mix_sources(docs).collect(), key=lambda r: (r.slot, r.block_row))
+    sources = [r.source for r in rows]
+    half = sources[:len(sources) // 2]
+    assert len(set(sources)) == 20 and set(half) == set(sources)
+    runs = sum(a != b for a, b in zip(sources, sources[1:])) + 1
+    assert runs > len(rows) / mixing.BLOCK_ROWS / 4
+
+
+def test_rows_without_ids_are_spread_and_repeat(spark):
+    docs = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'hot' AS source", "CONCAT('text ', id) AS text")
+    one, two = (sorted(map(str, mixing.mix_sources(docs.repartition(n)).collect())) for n in (3, 5))
+    assert one == two
+
+
+def test_joined_plan_equals_broadcast_plan(spark, monkeypatch):
+    docs = spark.range(500).selectExpr("id AS doc_id", "CONCAT('s', id % 7) AS source")
+    one = sorted(map(str, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "SMALL_PLAN", 0)
+    assert sorted(map(str, mixing.mix_sources(docs).collect())) == one

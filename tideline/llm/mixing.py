@@ -4,8 +4,9 @@ Each source's rows, in a seeded random order, are cut into blocks. With weight w
 block of a source may start at floor((i - 1)/w) and is due at ceil(i/w); running the
 eligible block with the earliest deadline in every slot meets all deadlines, so at any
 time each source is less than one block away from its share. Weights are whole parts of a
-period, after which the schedule repeats: one period is planned on the driver, from the
-weights alone, and every row finds its slot by joining that bounded table.
+period, after which the schedule repeats: one period a phase is planned on the driver, from
+the weights alone, and goes to Spark as the order of its sources, four bytes or so a slot;
+a phase ends where a source runs out. Every row finds its slot by a join with that table.
 
 No row is dropped or repeated. Where a source runs out, the others go on in the next
 phase with their weights relative to each other.
@@ -20,8 +21,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_SOURCES = 256
-MOST_PERIOD = 4096  # parts of all weights; the joined table has at most MOST_SOURCES x MOST_PERIOD rows
+BLOCK_ROWS = 4  # few, so that small tables are mixed as well; the plan does not depend on it
+SMALL_PLAN = 1 << 20  # slots of all periods, and phases of all sources, that are broadcast; more are joined
 CELL_ROWS = 8192
 ADDED = ["phase", "block", "block_row", "slot", "release", "deadline"]
 
@@ -53,15 +54,14 @@ def smoothed_parts(counts: dict, power: float = 0.5, period: int = 1000) -> dict
 
 
 def schedule(blocks: list[int], parts: list[int]) -> tuple[list[dict], list[dict]]:
-    """Phases of each source, and the slots of one period of each phase, for source numbers 0, 1, ..."""
+    """Phases of each source, and the order of the sources in one period of each phase, for source numbers 0, 1, ..."""
     left, first = list(blocks), [0] * len(blocks)
     sources = [{"sid": s, "firsts": [], "starts": [], "periods": []} for s in range(len(blocks))]
     slots, phase, start = [], 0, 0
     while any(left):
         active = {s: parts[s] for s, n in enumerate(left) if n}
         period, rounds = sum(active.values()), min(-(-left[s] // a) for s, a in active.items())
-        for s, i, slot, release, deadline in pfair_period(active):
-            slots.append({"sid": s, "phase": phase, "i": i, "at": slot, "opens": release, "due": deadline})
+        slots.append({"phase": phase, "period": period, "order": ",".join(str(slot[0]) for slot in pfair_period(active))})
         for s, a in active.items():
             for key, value in (("firsts", first[s]), ("starts", start), ("periods", period)):
                 sources[s][key].append(value)
@@ -73,27 +73,27 @@ def schedule(blocks: list[int], parts: list[int]) -> tuple[list[dict], list[dict
 
 
 def mix_sources(docs: DataFrame, parts: dict | None = None, source: str = "source", key: str = "doc_id",
-                block_rows: int = 64, seed: int = 7) -> DataFrame:
+                block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
     """docs with phase, block, block_row, slot, release and deadline; sort by slot, block_row to read the mixture.
 
     ``parts`` gives each source its whole share of the period; a source it lacks gets one
     part, one that docs lack is ignored. Without it shares follow the square root of the
     row counts. ``block`` is the number of a row's block within its source, ``slot`` its
     time, release and deadline the times between which it must run. Slots of a source's
-    last, missing blocks stay empty. A null source is a source of its own; null and equal
-    keys take any order among themselves. An empty table gives no rows. Existing columns
-    with the new names are replaced. At most 256 sources and 4,096 parts are allowed.
+    last, missing blocks stay empty. A null source is a source of its own; rows are ordered by
+    a hash of all their columns, so null and equal keys are spread, and only rows that are equal
+    throughout stand together. An empty table gives no rows. Existing columns with the new
+    names are replaced. Sources may be of any number; the plan has the sum of their parts
+    as slots for each phase, at most one phase a source.
     """
     spark = docs.sparkSession
     docs = docs.select(*[c for c in docs.columns if c not in ADDED])
-    counts = {r[0]: r[1] for r in docs.groupBy(source).count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counts = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}  # a row a source
     names = sorted(counts, key=lambda s: (s is not None, s))
     share = parts if parts is not None else smoothed_parts(counts)
     share = [share.get(s, 1) for s in names]
-    if sum(share) > MOST_PERIOD or min(share, default=1) < 1:
-        raise ValueError(f"parts must be positive and {MOST_PERIOD} at most together")
+    if min(share, default=1) < 1:
+        raise ValueError("parts must be positive")
     plan, slots = schedule([-(-counts[s] // block_rows) for s in names], share)
     for row, s, a in zip(plan, names, share):
         bits = max(0, math.ceil(math.log2(counts[s] / CELL_ROWS)))
@@ -107,11 +107,20 @@ def mix_sources(docs: DataFrame, parts: dict | None = None, source: str = "sourc
     sources = table(plan, f"source: {kind}, sid: int, parts: int, bits: int, phase0: int, firsts: array<bigint>, "
                           "starts: array<bigint>, periods: array<bigint>")
     sources = sources.select(*[F.col(c).alias(f"__{c}") for c in sources.columns])
-    pattern = table(slots, "sid: int, phase: int, i: int, at: int, opens: int, due: int")
-    pattern = pattern.select(F.col("sid").alias("__sid"), "phase", *[F.col(c).alias(f"__{c}") for c in ("i", "at", "opens", "due")])
-
-    hashed = docs.join(F.broadcast(sources), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-    hashed = hashed.withColumn("__order", F.xxhash64(F.lit(seed), key))
+    # Its i-th slot in the order is a source's i-th block; release and deadline follow from i.
+    pattern = table(slots, "phase: int, period: int, order: string").select(
+        "phase", "period", F.posexplode(F.split("order", ",")).alias("__at", "__sid"))
+    number = F.row_number().over(Window.partitionBy("phase", "__sid").orderBy("__at")) - 1
+    owner = sources.select("__sid", F.col("__parts").alias("__share"))
+    pattern = pattern.withColumns({"__sid": F.col("__sid").cast("int"), "__i": number}).join(owner, "__sid").select(
+        "__sid", "phase", "__i", "__at", F.expr("__i * period div __share").alias("__opens"),
+        F.expr("((__i + 1) * period + __share - 1) div __share").alias("__due"))
+    small = sum(r["period"] for r in slots) + sum(len(r["firsts"]) for r in plan) <= SMALL_PLAN
+    bounded = F.broadcast if small else lambda t: t
+
+    hashed = docs.join(bounded(sources), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
+    plain = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    hashed = hashed.withColumn("__order", F.xxhash64(F.lit(seed), *plain))
     cell = F.when(F.col("__bits") > 0, F.expr("shiftrightunsigned(__order, 64 - __bits)")).otherwise(F.lit(0).cast("long"))
     hashed = hashed.withColumn("__cell", cell)
     sizes = hashed.groupBy("__sid", "__cell").agg(F.count("*").alias("__n"))
@@ -132,7 +141,7 @@ def mix_sources(docs: DataFrame, parts: dict | None = None, source: str = "sourc
         "__period": F.element_at("__periods", F.col("__at_phase"))})
     block = block.withColumns({"__i": (F.col("__in") % F.col("__parts")).cast("int"),
                                "__begin": F.col("__start") + F.expr("__in div __parts") * F.col("__period")})
-    timed = block.join(F.broadcast(pattern), ["__sid", "phase", "__i"])
+    timed = block.join(bounded(pattern), ["__sid", "phase", "__i"])
     return timed.select(*docs.columns, "phase", "block", "block_row", (F.col("__begin") + F.col("__at")).alias("slot"),
                         (F.col("__begin") + F.col("__opens")).alias("release"),
                         (F.col("__begin") + F.col("__due")).alias("deadline"))
