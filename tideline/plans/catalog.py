@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, labels, numbers, text
-from tideline.operators import aggregates, compare, evaluate, joins, quantiles, sampling, scoring, topics
+from tideline.operators import aggregates, compare, density, evaluate, joins, quantiles, sampling, scoring, topics
 from tideline.plans import samples
 from tideline.session import scratch_path
 from tideline.sources import ledger, pages, reviews
@@ -387,6 +387,11 @@ def embedding_topics(spark, root):
     return topics.embedding_topics(table(spark, root, "embeddings"), "embedding", 8, "vec_id", min_similarity=0.25)
 
 
+@query
+def density_topics(spark, root):
+    return density.density_topics(table(spark, root, "embeddings"), "embedding", "vec_id", min_cluster=10, min_samples=5)
+
+
 @query
 def class_tfidf(spark, root):
     return topics.class_tfidf(word_docs(spark, root), "lang", "words", outlier="none")
