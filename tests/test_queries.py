@@ -7,7 +7,8 @@ import check
 from tideline.plans import catalog, oracle
 
 SQL = oracle.oracle_sql()
-ROWS_ONLY = {"lda_topics", "lda_top_words", "lda_grid", "embedding_topics", "subset_topics", "density_topics"}
+ROWS_ONLY = {"lda_topics", "lda_top_words", "lda_grid", "embedding_topics", "subset_topics", "density_topics",
+             "merged_topics", "topic_map"}
 # Fits of models, covered by their own tests.
 PLANNED = sorted(set(SQL))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, labels, numbers, text
-from tideline.operators import aggregates, compare, density, evaluate, joins, quantiles, sampling, scoring, topics
+from tideline.operators import aggregates, classify, compare, density, evaluate, joins, quantiles, sampling, scoring, topics
 from tideline.plans import samples
 from tideline.session import scratch_path
 from tideline.sources import ledger, pages, reviews
@@ -334,7 +334,7 @@ def lexicon_sentiment(spark, root):
 @query
 def lexicon_sentiment_table(spark, root):
     lexicon = spark.createDataFrame(list(samples.LEXICON.items()), "word string, weight double")
-    scored = scoring.lexicon_sentiment_table(word_docs(spark, root), "words", lexicon)
+    scored = scoring.lexicon_sentiment_table(word_docs(spark, root), "words", F.broadcast(lexicon))  # a short list
     return scored.select("review_id", "sentiment_label", "sentiment_score")
 
 
@@ -360,8 +360,115 @@ def sentiment_scored(spark, root):
     return scored.select("review_id", "sentiment_label", "sentiment_score", language.alias("detected_language"))
 
 
+def _held_out():
+    return F.col("review_id") % 5 == 0
+
+
+def _judged(spark, root):
+    """Documents with words and, where there is one, their label as a sentiment."""
+    marks = table(spark, root, "labels").select(
+        F.col("doc_id").alias("review_id"), F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").alias("truth"))
+    return word_docs(spark, root).join(marks, "review_id", "left")
+
+
+def _by_letters(spark, root):
+    return classify.language_by_letters(word_docs(spark, root), "words", "lang", ~_held_out(), LANGUAGES)
+
+
+@query
+def language_letters(spark, root):
+    return _by_letters(spark, root).select("review_id", "language", "language_score")
+
+
+@query
+def language_quality(spark, root):
+    """Both ways of telling languages on the documents that taught neither."""
+    docs = voted(spark, root).where(_held_out()).select("review_id", "lang", "predicted")
+    letters = _by_letters(spark, root).select("review_id", F.coalesce("language", F.lit("unknown")).alias("language"))
+    models = {"stop-words": "predicted", "letters": "language"}
+    return evaluate.compare_models(docs.join(letters, "review_id"), "lang", models, LANGUAGES)
+
+
+def _lexicon(spark, root):
+    return classify.induced_lexicon(_judged(spark, root).where(~_held_out()), "words", "truth", "positive", "negative")
+
+
+@query
+def induced_lexicon(spark, root):
+    return _lexicon(spark, root)
+
+
+@query
+def scoped_polarity(spark, root):
+    scored = classify.scoped_polarity(texts(spark, root), "text_positive", _lexicon(spark, root))
+    return scored.select("review_id", "sentiment_label", "sentiment_score")
+
+
+def _fitted(spark, root):
+    return classify.naive_bayes(_judged(spark, root), "words", "truth", ~_held_out(), ["negative", "positive"], by=("lang",))
+
+
+@query
+def sentiment_fitted(spark, root):
+    return _fitted(spark, root).select("review_id", "predicted", "probability")
+
+
+@query
+def sentiment_quality(spark, root):
+    docs = _fitted(spark, root).where(_held_out()).select("truth", F.coalesce("predicted", F.lit("none")).alias("predicted"))
+    return evaluate.compare_models(docs, "truth", {"naive Bayes": "predicted"}, ["negative", "positive"])
+
+
+def _forms(spark, root):
+    return word_docs(spark, root).select(F.explode("words").alias("form")).groupBy("form").agg(F.count("*").alias("tf"))
+
+
+def _rules(spark, root):
+    """Rules learned from the documents' own words: a form and a more frequent word that lacks its last letters."""
+    forms = _forms(spark, root)
+    stems = forms.select(F.col("form").alias("lemma"), F.col("tf").alias("often"))
+    shorter = F.explode(F.array(*[F.expr(f"left(form, length(form) - {n})") for n in (1, 2)])).alias("lemma")
+    pairs = forms.where(F.length("form") >= 6).select("form", "tf", shorter).join(stems, "lemma")
+    return classify.suffix_rules(pairs.where(F.col("often") > F.col("tf")).select("form", "lemma"))
+
+
+@query
+def suffix_rules(spark, root):
+    return _rules(spark, root)
+
+
+@query
+def lemmatize_rules(spark, root):
+    return classify.lemmas_by_rules(_forms(spark, root).select("form"), _rules(spark, root))
+
+
 # ---- topics
 
+@query
+def topic_similarity(spark, root):
+    return topics.topic_similarity(topics.class_weights(word_docs(spark, root), "source", "words"))
+
+
+@query
+def merged_topics(spark, root):
+    return topics.merged_topics(word_docs(spark, root), "source", "words", 8, outlier="none")
+
+
+@query
+def topic_relevance(spark, root):
+    return topics.topic_relevance(word_docs(spark, root), "lang", "words")
+
+
+@query
+def topic_distances(spark, root):
+    return topics.topic_distances(word_docs(spark, root), "source", "words")
+
+
+@query
+def topic_map(spark, root):
+    return topics.topic_map(word_docs(spark, root), "source", "words")
+
+
 @query
 def vocabulary(spark, root):
     return topics.vocabulary(word_docs(spark, root), "words")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tideline.functions.text import stopwords
+from tideline.operators import classify
 from tideline.plans import samples
 from tideline.plans.catalog import LANGUAGES, SEGMENTS, STARS, VOTE_LANGUAGES
 
@@ -204,8 +205,123 @@ def _natural(extra: str) -> str:
     return f"""WITH {TEXTS}, r AS (SELECT * FROM texts) {extra}"""
 
 
+def _letters() -> str:
+    """CTEs up to ``letters``: the language of every document by groups of three letters."""
+    each = lambda f: ", ".join(f(x) for x in LANGUAGES)
+    best = f"greatest({each(lambda x: f's_{x}')})"
+    return f"""{WORDS},
+counted AS (SELECT review_id, lang, w, count(*) AS n FROM (SELECT review_id, lang, unnest(words) AS w FROM docs) GROUP BY ALL),
+grams AS (SELECT w, unnest(list_transform(range(1, length(w) + 1), lambda i: substring(' ' || w || ' ', i, 3))) AS f
+  FROM (SELECT DISTINCT w FROM counted)),
+wide AS (SELECT f, {each(lambda x: f"coalesce(sum(n) FILTER (lang = '{x}'), 0) AS {x}")}
+  FROM counted JOIN grams USING (w) WHERE review_id % 5 <> 0 AND lang IN {_list(LANGUAGES)} GROUP BY f),
+total AS (SELECT {each(lambda x: f'sum({x}) AS t_{x}')}, count(*) AS v FROM wide),
+logs AS (SELECT f, {each(lambda x: f'ln(CAST({x} + 1 AS DOUBLE) / CAST(t_{x} + v AS DOUBLE)) AS l_{x}')} FROM wide, total),
+spelled AS (SELECT w, {each(lambda x: f'sum(l_{x}) AS w_{x}')} FROM grams JOIN logs USING (f) GROUP BY w),
+sums AS (SELECT review_id, {each(lambda x: f'sum(n * w_{x}) AS s_{x}')} FROM counted JOIN spelled USING (w) GROUP BY review_id),
+letters AS (SELECT review_id, CASE {' '.join(f"WHEN s_{x} = {best} THEN '{x}'" for x in LANGUAGES)} END AS language,
+  {_r(f"1.0 / ({' + '.join(f'exp(s_{x} - {best})' for x in LANGUAGES)})", 4)} AS language_score
+  FROM docs LEFT JOIN sums USING (review_id))"""
+
+
+JUDGED = f"""{WORDS}, judged AS (SELECT docs.*, CASE quality WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' END AS truth
+  FROM docs LEFT JOIN labels ON doc_id = review_id)"""
+
+
+def _induced() -> str:
+    """CTEs up to ``lexicon``."""
+    odds = lambda n, t: f"ln(({n} + a) / ({t} + 0.1::DOUBLE * (tp + tq) - {n} - a))"
+    z = f"({odds('p', 'tp')} - {odds('q', 'tq')}) / sqrt(1 / (p + a) + 1 / (q + a))"
+    return f"""{JUDGED},
+c AS (SELECT word, CAST(count(*) FILTER (truth = 'positive') AS DOUBLE) AS p, CAST(count(*) FILTER (truth = 'negative') AS DOUBLE) AS q
+  FROM (SELECT truth, unnest(words) AS word FROM judged WHERE truth IS NOT NULL AND review_id % 5 <> 0) GROUP BY word),
+weighed AS (SELECT word, p, q, 0.1::DOUBLE * (p + q) AS a, sum(p) OVER () AS tp, sum(q) OVER () AS tq FROM c),
+lexicon AS (SELECT word, {_r('z / (1 + abs(z))', 6)} AS weight, z FROM (SELECT word, {_r(z, 6)} AS z FROM weighed) WHERE abs(z) >= 1.96)"""
+
+
+def _bayes() -> str:
+    """CTEs up to ``fitted``: naive Bayes over words, a model a language."""
+    kinds = ("negative", "positive")
+    each = lambda f: ", ".join(f(x) for x in kinds)
+    return f"""{JUDGED},
+teach AS (SELECT * FROM judged WHERE truth IS NOT NULL AND review_id % 5 <> 0),
+wide AS (SELECT lang, w, {each(lambda x: f"CAST(count(*) FILTER (truth = '{x}') AS DOUBLE) AS {x}")}
+  FROM (SELECT lang, truth, unnest(words) AS w FROM teach) GROUP BY ALL),
+total AS (SELECT lang, {each(lambda x: f'sum({x}) AS t_{x}')}, count(*) AS v FROM wide GROUP BY lang),
+logs AS (SELECT lang, w, {each(lambda x: f'ln(({x} + 1) / (t_{x} + v)) AS l_{x}')} FROM wide JOIN total USING (lang)),
+sums AS (SELECT review_id, {each(lambda x: f'sum(l_{x}) AS s_{x}')}
+  FROM (SELECT review_id, lang, unnest(words) AS w FROM judged) JOIN logs USING (lang, w) GROUP BY review_id),
+prior AS (SELECT lang, {each(lambda x: f"ln((count(*) FILTER (truth = '{x}') + 1) / CAST(count(*) + 2 AS DOUBLE)) AS p_{x}")} FROM teach GROUP BY lang),
+both_sums AS (SELECT judged.*, coalesce(s_negative, 0) + p_negative AS a, coalesce(s_positive, 0) + p_positive AS b
+  FROM judged LEFT JOIN prior USING (lang) LEFT JOIN sums USING (review_id)),
+fitted AS (SELECT *, CASE WHEN a IS NULL THEN NULL WHEN a >= b THEN 'negative' ELSE 'positive' END AS predicted,
+  {_r('1.0 / (exp(a - greatest(a, b)) + exp(b - greatest(a, b)))', 4)} AS probability FROM both_sums)"""
+
+
+RULES = f"""{WORDS}, forms AS (SELECT form, count(*) AS tf FROM (SELECT unnest(words) AS form FROM docs) GROUP BY form),
+changes AS (SELECT f.form, k AS cut FROM forms f, (VALUES (1), (2)) ks(k), forms l
+  WHERE length(f.form) >= 6 AND l.form = left(f.form, length(f.form) - k) AND l.tf > f.tf),
+seen AS (SELECT right(form, size) AS suffix, cut, count(*) AS n FROM changes, range(1, 6) sizes(size)
+  WHERE size >= cut AND size <= length(form) GROUP BY ALL HAVING count(*) >= 2),
+rules AS (SELECT suffix, CAST(cut AS INTEGER) AS cut, '' AS "add", n
+  FROM (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut) AS rn FROM seen) WHERE rn = 1)"""
+
+DIST = ("(sum(a.p * ln(a.p / ((a.p + b.p) / 2)) + b.p * ln(b.p / ((a.p + b.p) / 2)))"
+        " + ln(2) * (2 - sum(a.p) - sum(b.p))) / 2")
+CLUSTERS = f"""{WORDS}, tf AS (SELECT source AS cluster, word, count(*) AS tf
+  FROM (SELECT source, unnest(words) AS word FROM docs WHERE source IS NOT NULL) GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
+    sql["language_letters"] = f"WITH {_letters()} SELECT review_id, language, language_score FROM letters"
+    held = _letters() + f""", worded AS (SELECT * REPLACE ({_tokens('text_positive')} AS words) FROM docs),
+      every AS (SELECT *, {_vote('words')} AS predicted FROM worded),
+      voted AS (SELECT every.*, coalesce(language, 'unknown') AS predicted_long FROM every JOIN letters USING (review_id) WHERE review_id % 5 = 0)"""
+    sql["language_quality"] = f"WITH {held} {_summary('stop-words', 'predicted')} UNION ALL {_summary('letters', 'predicted_long')}"
+    sql["induced_lexicon"] = f"WITH {_induced()} SELECT word, weight, z FROM lexicon"
+    degree = "CASE word " + " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in classify.DEGREES.items()) + " END"
+    sql["scoped_polarity"] = rf"""WITH {_induced()},
+      listed AS (SELECT review_id, unnest(m) AS word, generate_subscripts(m, 1) AS pos
+        FROM (SELECT review_id, regexp_extract_all(lower(coalesce(text_positive, '')), '[\p{{L}}\p{{N}}_]+|[.,;:!?]') AS m FROM texts)),
+      marked AS (SELECT review_id, pos, weight,
+        max(CASE WHEN word IN {_list(classify.NEGATIONS)} THEN pos END) OVER before AS no_at,
+        max(CASE WHEN word IN {_list(classify.SPAN_ENDS)} THEN pos END) OVER before AS end_at,
+        lag({degree}) OVER (PARTITION BY review_id ORDER BY pos) AS degree
+        FROM listed LEFT JOIN lexicon USING (word)
+        WINDOW before AS (PARTITION BY review_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      scored AS (SELECT review_id, avg(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, weight * coalesce(degree, 1.0::DOUBLE)))
+          * CASE WHEN pos - no_at <= {classify.NEGATION_REACH} AND no_at > coalesce(end_at, -1) THEN {classify.NEGATED}::DOUBLE ELSE 1.0::DOUBLE END) AS p
+        FROM marked WHERE weight IS NOT NULL GROUP BY review_id),
+      s AS (SELECT review_id, coalesce(p, 0.0::DOUBLE) AS p FROM texts LEFT JOIN scored USING (review_id))
+      SELECT review_id, {POLAR} AS sentiment_label, {_r('p', 4)} AS sentiment_score FROM s"""
+    sql["sentiment_fitted"] = f"WITH {_bayes()} SELECT review_id, predicted, probability FROM fitted"
+    truth = _summary("naive Bayes", "predicted").replace("lang =", "truth =")
+    for x in LANGUAGES:
+        truth = truth.replace(f"('{x}'), ", "").replace(f", ('{x}')", "").replace(f"('{x}')", "('negative'), ('positive')")
+    sql["sentiment_quality"] = f"""WITH {_bayes()}, voted AS (SELECT truth, coalesce(predicted, 'none') AS predicted
+      FROM fitted WHERE review_id % 5 = 0 AND truth IS NOT NULL) {truth}"""
+    sql["suffix_rules"] = f"WITH {RULES} SELECT * FROM rules"
+    sql["lemmatize_rules"] = f"""WITH {RULES},
+      ends AS (SELECT form, cut, row_number() OVER (PARTITION BY form ORDER BY length(suffix) DESC) AS rn
+        FROM forms, range(1, 6) sizes(size) JOIN rules ON suffix = right(form, size) WHERE size <= length(form))
+      SELECT f.form, CASE WHEN cut < length(f.form) THEN left(f.form, length(f.form) - cut) ELSE f.form END AS lemma
+      FROM forms f LEFT JOIN ends e ON e.form = f.form AND rn = 1"""
+    sql["topic_similarity"] = f"""WITH {CLUSTERS},
+      w AS (SELECT cluster, word, tf * ln(1.0::DOUBLE + (SELECT avg(s) FROM (SELECT CAST(sum(tf) AS DOUBLE) AS s FROM tf GROUP BY cluster))
+        / CAST(sum(tf) OVER (PARTITION BY word) AS DOUBLE)) AS w FROM tf),
+      u AS (SELECT cluster, word, w / sqrt(sum(w * w) OVER (PARTITION BY cluster)) AS w FROM w)
+      SELECT a.cluster AS a, b.cluster AS b, {_r('sum(a.w * b.w)', 6)} AS similarity FROM u a JOIN u b ON a.word = b.word AND a.cluster < b.cluster GROUP BY ALL"""
+    sql["topic_relevance"] = f"""WITH {CLUSTERS.replace('source AS cluster', 'lang AS cluster').replace('SELECT source, unnest', 'SELECT lang, unnest').replace('source IS', 'lang IS')},
+      n AS (SELECT *, CAST(sum(tf) OVER (PARTITION BY cluster) AS DOUBLE) AS size, CAST(sum(tf) OVER (PARTITION BY word) AS DOUBLE) AS f,
+        CAST(sum(tf) OVER () AS DOUBLE) AS whole FROM tf),
+      r AS (SELECT cluster, word, {_r('0.6 * ln(tf / size) + 0.4 * ln((tf / size) / (f / whole))', 6)} AS relevance,
+        {_r("f / whole * sum(tf / f * ln((tf / f) / (size / whole))) OVER (PARTITION BY word)", 9)} AS saliency FROM n)
+      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY relevance DESC, word) AS INTEGER) AS "rank" FROM r) WHERE "rank" <= 10"""
+    sql["topic_distances"] = f"""WITH {CLUSTERS},
+      p AS (SELECT cluster, word, tf / CAST(sum(tf) OVER (PARTITION BY cluster) AS DOUBLE) AS p FROM tf)
+      SELECT a.cluster AS a, b.cluster AS b, {_r(DIST, 6)} AS distance
+      FROM p a JOIN p b ON a.word = b.word AND a.cluster < b.cluster GROUP BY ALL"""
     sql["union_by_name"] = """SELECT doc_id AS id, text, lang FROM documents
       UNION ALL BY NAME SELECT conv_id AS id, turn, role, text FROM conversations"""
     sql["roundtrip_stage"] = f"WITH {OBS} SELECT review_id, city, rating, temporal_window FROM obs"
