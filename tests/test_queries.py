@@ -8,7 +8,7 @@ from tideline.plans import catalog, oracle
 
 SQL = oracle.oracle_sql()
 ROWS_ONLY = {"lda_topics", "lda_top_words", "lda_grid", "embedding_topics", "subset_topics", "density_topics",
-             "merged_topics", "topic_map"}
+             "merged_topics", "topic_map", "sentence_vectors", "sentence_topics", "both_models"}
 # Fits of models, covered by their own tests.
 PLANNED = sorted(set(SQL))
 
@@ -49,7 +49,8 @@ def test_scans_read_only_needed_columns(spark, data):
 
 
 # Queries whose feature is a fit or a written table; all others must only plan.
-ACTING = ROWS_ONLY | {"roundtrip_stage", "stream_ingest", "read_reviews_headers", "append_report", "tag_by_file"}
+ACTING = ROWS_ONLY | {"roundtrip_stage", "stream_ingest", "read_reviews_headers", "append_report", "tag_by_file",
+                      "resumable_ingest", "key_findings"}
 
 
 def test_building_a_query_only_reads_schemas(spark, data, monkeypatch):
@@ -67,3 +68,15 @@ def test_building_a_query_only_reads_schemas(spark, data, monkeypatch):
             more[name] = jobs
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert more == {}
+
+
+def test_findings_read_the_table_once(spark, data):
+    plan = catalog.QUERIES["key_findings"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "orders.parquet" not in plan and "findings" in plan
+
+
+def test_a_short_lexicon_is_the_broadcast_side(spark, data):
+    frame = catalog.QUERIES["lexicon_sentiment_table"](spark, data)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    hash_join = next(line for line in plan.splitlines() if "BroadcastHashJoin" in line and "word" in line)
+    assert "BuildRight" in hash_join

@@ -110,3 +110,33 @@ def test_missing_stages(spark, tmp_path):
     reviews.write_stage(df, str(tmp_path), "processed")
     assert analysis_table(spark, str(tmp_path)).first().rating == 8.5
     assert DESIGN.windows[0].end - DESIGN.windows[0].start == timedelta(days=49)
+
+
+def test_step_killed_between_its_writes_is_repeated_whole(spark, tmp_path, monkeypatch):
+    from tideline.streaming import ingest
+
+    schema = "url string, n int"
+    for i in range(3):
+        spark.createDataFrame([(f"u{i}{j}", j) for j in range(5)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{i}")
+    run = lambda: ingest.resumable_step(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/done", f"{tmp_path}/log", schema, "url",
+                                        files_per_batch=1)
+    kept, calls = ingest.write_batch, []
+
+    def killed(rows, folder, number):
+        calls.append(folder)
+        if len(calls) == 4:  # results of the second batch are written, its keys are not
+            raise RuntimeError("killed")
+        kept(rows, folder, number)
+
+    monkeypatch.setattr(ingest, "write_batch", killed)
+    with pytest.raises(Exception):
+        run()
+    monkeypatch.setattr(ingest, "write_batch", kept)
+    half = ingest.committed(spark, f"{tmp_path}/out", f"{tmp_path}/done")
+    assert half.count() == 5
+    for _ in range(2):
+        run()
+    rows = ingest.committed(spark, f"{tmp_path}/out", f"{tmp_path}/done")
+    assert sorted(r.url for r in rows.collect()) == [f"u{i}{j}" for i in range(3) for j in range(5)]
+    done = spark.read.parquet(f"{tmp_path}/done")
+    assert done.count() == done.select("url").distinct().count() == 15

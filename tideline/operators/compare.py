@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.design import StudyDesign
 from tideline.functions.numbers import half_even, pct_change, share_pct
 from tideline.operators.aggregates import emotion_pivot, paired_window
+from tideline.operators.scratch import written
 from tideline.operators.skew import top_per_group
 
 WINDOW = "temporal_window"
@@ -191,7 +192,10 @@ def top_categories(shares: DataFrame, by: list[str], n: int = 3) -> DataFrame:
 
 def key_findings(df: DataFrame, design: StudyDesign, topic: str, group: str = "city",
                  window: str = WINDOW) -> DataFrame:
-    """All comparisons as rows of (section, group_name, window_name, measure, value)."""
+    """All comparisons as rows of (section, group_name, window_name, measure, value).
+
+    The cells are written first: six sections read them, and the table is read once.
+    """
     def long(frame: DataFrame, section: str, name: Column, place: Column, measures: dict[str, Column]) -> DataFrame:
         pairs = F.explode(F.array(*[
             F.struct(F.lit(m).alias("measure"), v.cast("double").alias("value")) for m, v in measures.items()
@@ -201,7 +205,7 @@ def key_findings(df: DataFrame, design: StudyDesign, topic: str, group: str = "c
         ).select("section", "group_name", "window_name", "m.measure", "m.value")
 
     col, none = F.col, F.lit("all")
-    cells = compact(df, topic, group, window)
+    cells = written(compact(df, topic, group, window), "findings")
     totals = cells.agg(
         _count(cells, F.lit(True)).alias("n"), _count(cells, col(group) == design.target).alias("t")
     )

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, labels, numbers, text
-from tideline.operators import aggregates, classify, compare, density, evaluate, joins, quantiles, sampling, scoring, topics
-from tideline.plans import samples
+from tideline.operators import (aggregates, classify, compare, density, evaluate, joins, quantiles, sampling, scoring, topics,
+                                vectors)
+from tideline.plans import samples, stages
 from tideline.session import scratch_path
 from tideline.sources import ledger, pages, reviews
 from tideline.sources.adapters import OBS_DESIGN, observations, table, texts
-from tideline.streaming.ingest import stream_reviews
+from tideline.streaming.ingest import committed, resumable_step, stream_reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +84,18 @@ def stream_ingest(spark, root):
     return spark.read.schema(schema).parquet(f"{folder}/out").select("event_id", "user_id", "event_type", "value")
 
 
+@query
+def resumable_ingest(spark, root):
+    folder = scratch_path(spark, "resumable")
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+    for _ in range(2):  # the second run finds nothing new
+        resumable_step(spark, root, f"{folder}/out", f"{folder}/ledger", f"{folder}/log", schema, "event_id",
+                       transform=lambda rows: rows.where(F.col("event_type") != "error"), options={"pathGlobFilter": "events.parquet"})
+    done = spark.read.parquet(f"{folder}/ledger").select("event_id", F.lit(True).alias("noted"))
+    rows = committed(spark, f"{folder}/out", f"{folder}/ledger")
+    return rows.join(done, "event_id", "left").select("event_id", "user_id", "event_type", "value", "noted")
+
+
 @query
 def read_reviews_headers(spark, root):
     """Documents written as CSV under two headers of different columns, read back by name."""
@@ -494,6 +507,24 @@ def embedding_topics(spark, root):
     return topics.embedding_topics(table(spark, root, "embeddings"), "embedding", 8, "vec_id", min_similarity=0.25)
 
 
+@query
+def sentence_vectors(spark, root):
+    return vectors.sentence_vectors(word_docs(spark, root), "words")
+
+
+@query
+def sentence_topics(spark, root):
+    """Density topics of the documents' own sentence vectors."""
+    found = vectors.sentence_vectors(word_docs(spark, root), "words", size=16)
+    return density.density_topics(found, "embedding", min_cluster=10, min_samples=5)
+
+
+@query
+def both_models(spark, root):
+    """LDA and embedding topics of both polarities, side by side."""
+    return stages.model_texts(texts(spark, root), k=3).assignments
+
+
 @query
 def density_topics(spark, root):
     return density.density_topics(table(spark, root, "embeddings"), "embedding", "vec_id", min_cluster=10, min_samples=5)

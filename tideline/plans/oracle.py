@@ -327,6 +327,7 @@ def oracle_sql() -> dict[str, str]:
     sql["roundtrip_stage"] = f"WITH {OBS} SELECT review_id, city, rating, temporal_window FROM obs"
     sql["incremental_pending"] = "SELECT page_id, url FROM pages WHERE NOT starts_with(url, 'http://')"
     sql["stream_ingest"] = "SELECT event_id, user_id, event_type, value FROM events"
+    sql["resumable_ingest"] = "SELECT event_id, user_id, event_type, value, true AS noted FROM events WHERE event_type <> 'error'"
     unescape = "replace(replace(replace(replace({c}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
     edges = _strip("t")
     article = (
