@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import words as W
-from tideline.llm.tables import bits_hold, components, id_bits, map_groups, maybe_in, saved
+from tideline.llm.tables import bits_hold, components, forget, id_bits, map_groups, maybe_in, saved
 
 BLOCK = 512
 SPANNING_ROUNDS = 2
@@ -207,7 +207,7 @@ def tile_candidates(grouped: DataFrame, sets: DataFrame, num: int, den: int, fai
     rows = rows.select("post", "doc_id", "root", "n", F.inline(F.array(
         F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")),
         F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("home")))))
-    rows = saved(rows, "tile_rows")
+    rows = held_rows = saved(rows, "tile_rows")
     counts = rows.groupBy("post", "tile").agg(
         F.count("*").alias("rows"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("home").alias("homes"))
     counts = counts.where("r0 <> r1 AND homes").select("post", "tile", F.ceil(F.col("rows") / block).alias("blocks"))
@@ -225,7 +225,9 @@ def tile_candidates(grouped: DataFrame, sets: DataFrame, num: int, den: int, fai
     rows = rows.join(held, "doc_id")
     keyed = rows.select("post", "tile", "i", "j", "doc_id", "n", "root", "home", "block", "bits", "failed")
     found = map_groups(keyed, ["post", "tile", "i", "j"], lambda t: _tile_pairs(t, num, den, spanning), "a long, b long")
-    return found.where("a <> b").distinct()
+    found = found.where("a <> b").distinct()
+    found.backing = [held_rows]
+    return found
 
 
 def _spread(table: DataFrame, without: np.ndarray | None, posts: np.ndarray | None) -> DataFrame:
@@ -245,9 +247,14 @@ def _spread(table: DataFrame, without: np.ndarray | None, posts: np.ndarray | No
     return table.select("d1", "doc_id", "posts").mapInArrow(run, "post long, doc_id long")
 
 
-def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (post, doc_id, root) that the links have not made one component."""
+    roots = components(links, "near")
     named = shared.select("post", "doc_id").join(roots.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return saved(named.select("post", "doc_id", F.coalesce("component", "doc_id").alias("root")), "named_groups")
+    named = saved(named.select("post", "doc_id", F.coalesce("component", "doc_id").alias("root")), "named_groups")
+    left = saved(_open_groups(named), "rooted")
+    forget(named, *roots.backing)
+    return left
 
 
 def _open_groups(rooted: DataFrame) -> DataFrame:
@@ -286,6 +293,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     spread = lambda posts=None: _spread(whole, copied, posts).unionByName(_spread(once, None, posts))
     groups = saved(spread().groupBy("post").agg(F.count("*").alias("size")).where("size > 1"), "groups")
     shared = saved(spread(id_bits(groups, "post")).join(groups, "post").distinct(), "shared")
+    forget(groups)
 
     known = id_bits(shared, "doc_id")
     wanted = maybe_in(docs.select("doc_id", "text"), "doc_id", known)
@@ -297,26 +305,38 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     for rank in ranks:
         pairs = _with_leaders(rooted.join(rank, "doc_id"))
         near = saved(verified(pairs, sets, num, den), "near")
-        links = near if links is None else saved(links.unionByName(near), "links")
-        rooted = saved(_open_groups(_rooted(shared, components(links, "near"))), "rooted")
+        before, links = links, near if links is None else saved(links.unionByName(near), "links")
+        if before is not None:
+            forget(before, near)
+        before, rooted = rooted, _still_open(shared, links)
+        if hasattr(before, "scratch"):
+            forget(before)
     failed = None
     for turn in range(SPANNING_ROUNDS + 1):
         spanning = turn < SPANNING_ROUNDS
-        candidates = saved(tile_candidates(rooted, sets, num, den, failed, spanning), "candidates")
+        pairs = tile_candidates(rooted, sets, num, den, failed, spanning)
+        candidates = saved(pairs, "candidates")
+        forget(*pairs.backing)
         if candidates.isEmpty():
             break
         found = saved(verified(candidates, sets, num, den), "found")
-        links = saved(links.unionByName(found), "links")
+        before, links = links, saved(links.unionByName(found), "links")
+        forget(before)
         if not spanning:
             break
         wrong = candidates.join(found, ["a", "b"], "left_anti")
-        failed = saved(wrong if failed is None else failed.unionByName(wrong), "failed")
-        rooted = saved(_open_groups(_rooted(shared, components(links, "near"))), "rooted")
-
-    final = components(links, "linked").select(F.col("node").alias("doc_id"), "component")
-    named = nodes.join(final, "doc_id", "left").select(
+        before, failed = failed, saved(wrong if failed is None else failed.unionByName(wrong), "failed")
+        forget(candidates, found, *([] if before is None else [before]))
+        before, rooted = rooted, _still_open(shared, links)
+        forget(before)
+
+    final = components(links, "linked")
+    linked = final.select(F.col("node").alias("doc_id"), "component")
+    named = nodes.join(linked, "doc_id", "left").select(
         "n", "d1", "d2", F.coalesce("component", "doc_id").alias("component"))
     named = saved(named, "named")
     out = table.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = saved(out.select("doc_id", F.col("n").alias("n_shingles"),
+                           F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "jaccard")
+    forget(table, nodes, shared, sets, links, rooted, named, *final.backing)
+    return out

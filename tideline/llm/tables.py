@@ -39,25 +39,32 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     edges = saved(links.select("a", "b").where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), name)
-    roots = None
+    roots, backing = None, []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
         hook = both.groupBy(a.alias("node")).agg(F.min("b").alias("to"))
-        hook = saved(hook.select("node", F.least("node", "to").alias("to")), name)
+        near = hook = saved(hook.select("node", F.least("node", "to").alias("to")), name)
         for _ in range(2):
             ahead = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
             hook = hook.join(ahead, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
         hook = saved(hook, name)
+        forget(near)
         if roots is None:
-            roots = hook.select("node", F.col("to").alias("component"))
+            roots, used = hook.select("node", F.col("to").alias("component")), hook
         else:
             step = hook.select(F.col("node").alias("component"), "to")
-            roots = saved(roots.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")), name)
+            used = roots = saved(roots.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")), name)
+            forget(*backing)
+        backing = [used]
         left = edges.join(hook.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
         left = left.join(hook.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").where("x != y")
-        edges = saved(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
+        after = saved(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
+        forget(edges, *([] if hook is used else [hook]))
+        edges = after
+    forget(edges)
     if roots is None:
-        return links.select(a.alias("node"), a.alias("component")).limit(0)
+        roots = links.select(a.alias("node"), a.alias("component")).limit(0)
+    roots.backing = backing  # tables that the result reads
     return roots
 
 
