@@ -163,3 +163,9 @@ def test_links(spark):
     assert got == [("https://h/hotel/it/a.html?x=1&y=2", 1, 0), ("https://h/b", 1, 1), ("https://h/hotel/it/c.html", 2, 0),
                    ("https://h/b/hotel/", 2, 1)]
     assert pages.extract_links(df, "https://h", most=2).count() == 2
+
+
+def test_a_page_that_is_no_markup_has_no_cards():
+    from tideline.sources import markup, pages
+
+    assert markup.read_cards("<![foo<article><h1>x</h1>", pages.ARTICLES) == []

@@ -138,6 +138,20 @@ def page_cards(spark, root):
     return pages.extract_cards(table(spark, root, "pages"), pages.ARTICLES)
 
 
+@query
+def review_cards(spark, root):
+    """Documents written as review pages and read back with the profile of review cards."""
+    n = F.col("doc_id")
+    parts = ['<html><div data-testid="rating-squares" aria-label="', n % 5 + 1, ' stelle"></div><div data-testid="review-card"><h4 data-testid="review-title">',
+             F.col("source"), '</h4><div data-testid="review-score">', n % 10, ",", n % 7, '</div><div data-testid="review-positive-text">« ',
+             F.col("lang"), " ", n, ' »</div><span data-testid="review-num-nights">', n % 9 + 1, " notti</span></div></html>"]
+    html = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    url = F.concat(F.lit("https://x.example/hotel/it/house-"), F.col("lang"), F.lit(".it.html"))
+    made = table(spark, root, "documents").select(n.alias("page_id"), url.alias("url"), html.alias("html"))
+    rows = pages.review_rows(made, F.lit("here"), F.lit("made"))
+    return rows.select("page_id", "card", "city", "property", "property_stars", "rating", "review_title", "nights_stayed", "text_positive", "text_negative")
+
+
 @query
 def page_links(spark, root):
     return pages.extract_links(table(spark, root, "pages"), "https://site.example", path_mark="/")

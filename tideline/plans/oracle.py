@@ -337,6 +337,9 @@ def oracle_sql() -> dict[str, str]:
     heading = r"regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
     sql["page_cards"] = f"""SELECT page_id, 0 AS card, {unescape.format(c=f"(SELECT {edges} FROM (SELECT {heading} AS t))")} AS review_title,
       {unescape.format(c=f"array_to_string({article}, '')")} AS text_positive FROM pages"""
+    sql["review_cards"] = """SELECT doc_id AS page_id, 0 AS card, 'here' AS city, 'House ' || upper(lang[1]) || lower(lang[2:]) AS property,
+      CAST(doc_id % 5 + 1 AS INTEGER) AS property_stars, CAST((doc_id % 10) || '.' || (doc_id % 7) AS DOUBLE) AS rating, source AS review_title,
+      CAST(doc_id % 9 + 1 AS INTEGER) AS nights_stayed, lang || ' ' || doc_id AS text_positive, '' AS text_negative FROM documents"""
     sql["page_links"] = r"""WITH t AS (
         SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*>'),
           lambda x: trim(regexp_extract(x, '(?is)\shref\s*=\s*(.*)>$', 1))) AS tails FROM pages),

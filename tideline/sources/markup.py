@@ -144,10 +144,13 @@ def read_field(start: Node, spec: Field) -> str | None:
 
 
 def read_cards(html: str | None, profile: Profile) -> list[dict[str, str | None]]:
-    """One dict per card with the required field; a card that fails is left out alone."""
+    """One dict per card with the required field; a card that fails is left out alone, a page that is no markup has none."""
     if not html:
         return []
-    page = parse(html)
+    try:
+        page = parse(html)
+    except (ValueError, AssertionError, RecursionError):  # as the parser raises for broken declarations
+        return []
     cards: list[Node] = []
     for selector in profile.cards:
         cards = _find(page, (selector,))
