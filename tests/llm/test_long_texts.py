@@ -12,7 +12,7 @@ from tideline.llm import bitplanes, fingerprints, jaccard, language_model, mixin
 
 LONG = " ".join(f"word{i * i % 7001}" for i in range(150_000))  # about 1.3 MB, more than a slice
 CASES = [(1, LONG), (2, LONG), (3, LONG[:400_000] + " another end"), (4, "a short text about nothing much"), (5, None), (6, ""),
-         (7, "x" * 1_500_000), (8, "a short text about nothing more")]
+         (7, "x" * 50_000), (8, "a short text about nothing more")]
 
 
 @pytest.fixture(scope="module")
@@ -45,12 +45,10 @@ def test_repeats(docs):
 
 def test_token_ids(docs):
     tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    some = docs.where("doc_id <> 7")  # a single word of a megabyte takes the library itself minutes
-    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in bitplanes.token_id_table(some, path("byte_bpe_50k.json")).collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in bitplanes.token_id_table(docs, path("byte_bpe_50k.json")).collect()}
     for i, t in CASES:
-        if i != 7:
-            ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-            assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
 
 
 def test_pieces(docs):
