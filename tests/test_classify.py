@@ -94,3 +94,12 @@ def test_topic_map_keeps_distances(spark):
     spot = {r.cluster: (r.x, r.y) for r in topics.topic_map(df, "t", "words").collect()}
     assert math.dist(spot[0], spot[1]) == pytest.approx(math.log(2) / 2, abs=1e-5)
     assert math.dist(spot[0], spot[2]) == pytest.approx(math.log(2), abs=1e-5)
+
+
+def test_words_are_counted_where_rows_are_read(spark):
+    rows = [(1, "en", ["b", "a", "b", None]), (1, "en", ["b"]), (None, "de", ["a"]), (2, None, []), (3, "en", None)]
+    df = spark.createDataFrame(rows, "review_id long, lang string, words array<string>")
+    counts = classify.word_counts(df, "review_id", "words", "lang")
+    assert sorted(map(tuple, counts.where("review_id = 1").collect())) == [(1, "en", "a", 1), (1, "en", "b", 1), (1, "en", "b", 2)]
+    assert [tuple(r) for r in counts.where("review_id is null").collect()] == [(None, "de", "a", 1)] and counts.count() == 4
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()

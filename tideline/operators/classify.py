@@ -6,6 +6,8 @@ driver or a broadcast; labels are few and stand side by side in an array.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,31 @@ SPAN_ENDS = (".", ",", ";", ":", "!", "?", "but", "aber", "mais", "pero", "ma")
 
 
 def word_counts(df: DataFrame, key: str, words: str, *others: str) -> DataFrame:
-    """(key, others, feature, n): how often each word occurs in each text."""
-    return df.select(key, *others, F.explode(words).alias("feature")).groupBy(key, *others, "feature").agg(F.count("*").alias("n"))
+    """(key, others, feature, n): how often each word occurs in each row, counted where the row is read; rows that share a key stay apart.
+
+    Null words are left out.
+    """
+    rows = df.select(key, *others, F.col(words).alias("words"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            size = lists.value_lengths().fill_null(0).to_numpy()
+            flat = lists.flatten().dictionary_encode()
+            some = flat.is_valid().to_numpy(zero_copy_only=False)
+            names = flat.dictionary
+            cells = np.repeat(np.arange(len(size)), size)[some] * np.int64(max(len(names), 1)) + flat.indices.drop_null().to_numpy()
+            cells, n = np.unique(cells, return_counts=True)
+            row, code = np.divmod(cells, max(len(names), 1))
+            step = 1 << 16
+            for at in range(0, len(cells), step):
+                own = pa.array(row[at:at + step])
+                kept = [batch.column(c).take(own) for c in (key, *others)]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, names.take(pa.array(code[at:at + step])), pa.array(n[at:at + step].astype(np.int64))], [key, *others, "feature", "n"])
+
+    return rows.mapInArrow(run, f"{kinds}, feature string, n long")
 
 
 def feature_logs(counts: DataFrame, labels: list[str], by: tuple[str, ...] = (), alpha: float = ALPHA) -> DataFrame:
@@ -70,7 +95,8 @@ def naive_bayes(df: DataFrame, words: str, truth: str, train: Column, labels: li
     for its ``by``, or a null there, both columns are null.
     """
     teach = df.where(train & F.col(truth).isin(labels))
-    counts = word_counts(teach, key, words, *by, truth).withColumnRenamed(truth, "label")
+    # Only a word's counts by label are needed, so they combine before the shuffle whatever the number of texts.
+    counts = teach.select(*by, F.col(truth).alias("label"), F.explode(words).alias("feature"), F.lit(1).alias("n"))
     logs = feature_logs(counts, labels, by, alpha)
     shares = teach.groupBy(*by).agg(
         F.array(*[F.log((F.count_if(F.col(truth) == x) + alpha) / (F.count("*") + alpha * len(labels))) for x in labels]).alias("prior"))
