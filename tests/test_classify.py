@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import classify, topics
+from tideline.plans.catalog import QUERIES
 
 
 def test_naive_bayes_by_hand(spark):
@@ -103,3 +104,8 @@ def test_words_are_counted_where_rows_are_read(spark):
     assert sorted(map(tuple, counts.where("review_id = 1").collect())) == [(1, "en", "a", 1), (1, "en", "b", 1), (1, "en", "b", 2)]
     assert [tuple(r) for r in counts.where("review_id is null").collect()] == [(None, "de", "a", 1)] and counts.count() == 4
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_forms_are_made_of_the_texts_once(spark, data):
+    for name in ("suffix_rules", "lemmatize_rules"):
+        assert not any("documents" in f for f in QUERIES[name](spark, data).inputFiles())
