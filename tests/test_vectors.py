@@ -55,3 +55,45 @@ def test_sentences_of_a_theme_are_near(spark, docs):
     same = np.equal.outer(np.arange(45) % 3, np.arange(45) % 3)
     near = v @ v.T
     assert np.allclose(np.diag(near), 1) and near[same].mean() > near[~same].mean() + .3
+
+
+def test_iterations_shuffle_nothing(spark, docs, monkeypatch):
+    matrix = vectors.cooccurrence(docs, "words")[1]
+    plans = []
+    for name in ("written", "_parted"):
+        def spy(df, *rest, plain=getattr(vectors, name, None), **more):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return plain(df, *rest, **more)
+        monkeypatch.setattr(vectors, name, spy, raising=False)
+    vectors.leading_directions(matrix, 3, rounds=1)
+    assert len(plans) > 4 and not any("Exchange" in p for p in plans)
+
+
+def test_matrix_of_many_bands_and_strips(spark):
+    """140,000 words in a ring, each text twice: a word is near its four neighbours either way."""
+    n, size = 140_000, 100
+    texts = spark.range(2 * n // size).selectExpr(f"transform(sequence(0, {size - 1}), x -> concat('w', (id * {size} + x) % {n})) AS words")
+    vocabulary, matrix = vectors.cooccurrence(texts, "words")
+    assert vocabulary.count() == n
+    pairs = matrix.toPandas()
+    word = vocabulary.toPandas().set_index("id").word.str[1:].astype(int)
+    a, b = word[pairs.a].to_numpy(), word[pairs.b].to_numpy()
+    assert len(pairs) == n // size * (size * 8 - 20) and (a // size == b // size).all() and set(np.abs(a - b)) == {1, 2, 3, 4}
+    ends = lambda x: np.minimum(x % size, 4) + np.minimum(size - 1 - x % size, 4)
+    assert np.allclose(pairs.v, np.log(2 * 2 * len(pairs) / (2 * ends(a) * 2 * ends(b))), atol=1e-12)
+
+
+def test_repeated_and_missing_keys_share_a_vector(spark):
+    rows = [(1, ["a", "b", "a", "b"]), (1, ["c", "d", "c", "d"]), (None, ["a", "b"]), (2, ["a", "b"]), (3, ["z"])]
+    got = vectors.sentence_vectors(spark.createDataFrame(rows, "review_id long, words array<string>"), "words", size=2).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.review_id, []).append(r.embedding)
+    assert len(got) == 5 and by[1][0] == by[1][1] is not None and by[None] == [None] and by[3] == [None]
+    assert np.isclose(np.linalg.norm(by[2][0]), 1)
+
+
+def test_no_texts(spark):
+    for rows in ([], [(1, []), (2, None)]):
+        got = vectors.sentence_vectors(spark.createDataFrame(rows, "review_id long, words array<string>"), "words", size=2).collect()
+        assert [r.embedding for r in got] == [None] * len(rows)
