@@ -55,6 +55,28 @@ def test_segments_encode_like_whole_texts(tokenizer, texts):
         assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_new_segments_are_encoded_many_at_a_time(tokenizer):
+    import pyarrow as pa
+
+    class Counting:
+        calls = 0
+
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            Counting.calls += len(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    texts = [" ".join(f"{w}{i * 7919 % 99991}" for i, w in enumerate(["été", "x's", "漢字", "<|endoftext|>", "\t", "\u3000", "🙂", "a\u0085"] * 400)),
+             " leading", "trailing  ", "", "\n"]
+    (_, _, data, offsets), = words.slices(pa.array(texts))
+    ids, n = bitplanes.SegmentEncoder(Counting()).encode(data, offsets)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert Counting.calls < 100
+
+
 def test_table_against_plain_encoding(spark, data, tokenizer):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = sorted(bitplanes.token_id_table(docs.repartition(3), PATH).collect())

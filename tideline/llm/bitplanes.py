@@ -30,6 +30,7 @@ from tideline.session import scratch_path
 MAGIC = b"TLPLANE1"
 BLOCK_IDS = 65_536
 CACHED = 500_000  # segments that a worker remembers
+JOINED_BYTES = 1 << 15  # bytes of new segments that are encoded as one text
 ENCODE_BYTES = 1 << 20
 
 
@@ -131,10 +132,21 @@ def segment_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class SegmentEncoder:
     """Encodes texts segment by segment and remembers segments; equal to encoding them whole."""
 
+    most = 2 * CACHED
+
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.octets = None if tokenizer is None else self._octets()
         self.forget()
 
+    def _octets(self) -> np.ndarray:
+        """How many bytes of a text each id stands for, where pieces are byte for byte."""
+        names, added = self.tokenizer.get_vocab(), {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        octets = np.zeros(max(names.values(), default=-1) + 1, np.int64)
+        for name, i in names.items():
+            octets[i] = len(name.encode()) if name in added else len(name)
+        return octets
+
     def forget(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -142,13 +154,49 @@ class SegmentEncoder:
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return segment_starts(data, offsets)
 
-    def encode_segments(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the segments one after the other, and how many each has."""
+    def _alone(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
         texts = [raw[a:b].decode() for a, b in zip(start, end)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64)
 
+    def _joined(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Segments that may follow each other, as texts of many; None if the ids do not end where segments do."""
+        size = end - start
+        raw, bounds = W.gather(data, start, size).tobytes(), np.concatenate([[0], np.cumsum(size)])
+        cuts = np.unique(np.append(np.searchsorted(bounds, np.arange(0, bounds[-1], JOINED_BYTES)), len(size)))
+        texts = [raw[bounds[a]:bounds[b]].decode() for a, b in zip(cuts[:-1], cuts[1:])]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        ends = np.cumsum(self.octets[ids])
+        last = np.searchsorted(ends, bounds[1:])
+        if ends[-1] != bounds[-1] or (ends[last] != bounds[1:]).any():
+            return None
+        return ids, np.diff(last + 1, prepend=0)
+
+    def encode_segments(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the segments one after the other, and how many each has.
+
+        Segments that begin with a blank and end so that a text may be cut there are encoded many at a time.
+        """
+        fits = (data[start] == 32) & (end > start)
+        some = np.flatnonzero(fits)
+        bounds = np.cumsum((end - start)[some])
+        joined = np.append(W.gather(data, start[some], (end - start)[some]), np.uint8(32))
+        fits[some] = np.isin(bounds, segment_starts(joined, np.array([0, len(joined)])))
+        some, rest = np.flatnonzero(fits), np.flatnonzero(~fits)
+        found = self._joined(data, start[some], end[some]) if len(some) else None
+        if found is None:
+            return self._alone(data, start, end)
+        ids, n = np.zeros(0, np.uint32), np.zeros(len(start), np.int64)
+        n[some] = found[1]
+        if len(rest):
+            ids, n[rest] = self._alone(data, start[rest], end[rest])
+        ids, at = np.concatenate([found[0], ids]), np.empty(len(start), np.int64)
+        order = np.concatenate([some, rest])
+        at[order] = np.cumsum(n[order]) - n[order]
+        return W.gather(ids, at, n), n
+
     def _learn(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, ids])
@@ -161,7 +209,7 @@ class SegmentEncoder:
         end = np.append(start[1:], len(data))[:len(start)]
         table = W.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         keys, first, group = np.unique(W.run_hashes(table[data], start, end), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > CACHED:
+        if len(self.keys) + len(keys) > self.most:
             self.forget()
         known = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tideline.llm import words as W
-from tideline.llm.bitplanes import ENCODE_BYTES, SegmentEncoder
+from tideline.llm.bitplanes import CACHED, ENCODE_BYTES, SegmentEncoder
 
 MARKER = "▁"
 PENALTY = 10.0  # below the least score, for a character spelled in bytes
@@ -204,6 +204,8 @@ def viterbi(pieces: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray
 class PieceEncoder(SegmentEncoder):
     """Encodes by :func:`viterbi`, remembering segments."""
 
+    most = CACHED
+
     def __init__(self, pieces: Pieces):
         super().__init__(None)
         self.pieces = pieces
