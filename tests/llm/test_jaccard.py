@@ -72,3 +72,25 @@ def test_nulls_repeated_rows_and_empty_table(spark):
     got = sorted((tuple(r) for r in run(spark, rows, k=3, num=9, den=10)), key=str)
     assert got == sorted([(None, 5, None), (1, 0, 1), (2, 5, 2), (2, 5, 2), (5, 5, 2), (6, 0, 6)], key=str)
     assert run(spark, []) == []
+
+
+def test_only_possible_pairs_are_verified_and_settled_groups_rest(spark, monkeypatch):
+    """Texts that share a passage, and hence groups, but are far from similar."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = words(60)
+    rows = [(i, " ".join(words(40) + passage)) for i in range(30)] + [(100, " ".join(passage)), (101, " ".join([*passage[:-1], "x"]))]
+    pairs, plain = [], jaccard.verified
+
+    def spy(found, *rest):
+        pairs.append(found.count())
+        return plain(found, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", spy)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(30)} | {100: 100, 101: 100}
+    assert sum(pairs) < 10
+    rooted = spark.createDataFrame([(p, d, d) for p, ds in {1: [1, 2, 3], 2: [2, 3, 4], 3: [1, 4], 4: [5, 6]}.items() for d in ds], "post long, doc_id long, root long")
+    left = jaccard._unsettled(rooted, spark.createDataFrame([(2, 3), (4, 6)], "a long, b long")).collect()
+    assert sorted({r.post for r in left}) == [1, 2] and len(left) == 6

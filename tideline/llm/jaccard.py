@@ -134,8 +134,33 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         run, "doc_id long, n long, band long, shingles array<long>, bits binary")
 
 
+def _of_pairs(sets: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+    """Those columns of the sets that occur in pairs (a, b), which are written; others are not worth a shuffle."""
+    met = id_bits(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a")
+    return maybe_in(sets.select("doc_id", *columns), "doc_id", met)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that the bit counts of their bitmaps cannot rule out."""
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            nx, ny = (batch.column(c).to_pylist() for c in ("nx", "ny"))
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                x, y = (_fold(bits, min(len(x), len(y))) for bits in (x, y))
+                own, other, both = (int(np.bitwise_count(bits).sum(dtype=np.int64)) for bits in (x, y, x & y))
+                most = min(nx[i] - (own - both), ny[i] - (other - both))
+                keep[i] = (num + den) * most >= num * (nx[i] + ny[i])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    side = lambda c, n, x: sets.select(F.col("doc_id").alias(c), F.col("n").alias(n), F.col("bits").alias(x))
+    both = pairs.join(side("b", "ny", "y"), "b").join(side("a", "nx", "x"), "a")
+    return both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough, by exact intersection."""
+    """Those of the pairs (a, b), a written table, whose sets are similar enough, by exact intersection."""
+    sets = _of_pairs(sets, pairs, "shingles")
     def run(batches):
         for batch in batches:
             left, right = batch.column("x"), batch.column("y")
@@ -257,6 +282,15 @@ def _still_open(shared: DataFrame, links: DataFrame) -> DataFrame:
     return left
 
 
+def _unsettled(rooted: DataFrame, wrong: DataFrame) -> DataFrame:
+    """Rows (post, doc_id, root) of the groups that hold both ends of a pair that was proposed wrongly.
+
+    In all other groups every pair was ruled out, or joined by proposals that held.
+    """
+    at = rooted.select("post", F.col("doc_id").alias("a")).join(wrong, "a").select("post", F.col("b").alias("doc_id"))
+    return rooted.join(rooted.join(at, ["post", "doc_id"], "left_semi").select("post").distinct(), "post", "left_semi")
+
+
 def _open_groups(rooted: DataFrame) -> DataFrame:
     """Groups that are not yet one component; of several with the same members, one."""
     groups = rooted.groupBy("post").agg(
@@ -303,8 +337,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     rooted = shared.select("post", "doc_id", F.col("doc_id").alias("root"))
     links = None
     for rank in ranks:
-        pairs = _with_leaders(rooted.join(rank, "doc_id"))
+        pairs = saved(possible(_with_leaders(rooted.join(rank, "doc_id")), sets, num, den), "leaders")
         near = saved(verified(pairs, sets, num, den), "near")
+        forget(pairs)
         before, links = links, near if links is None else saved(links.unionByName(near), "links")
         if before is not None:
             forget(before, near)
@@ -324,11 +359,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         forget(before)
         if not spanning:
             break
-        wrong = candidates.join(found, ["a", "b"], "left_anti")
-        before, failed = failed, saved(wrong if failed is None else failed.unionByName(wrong), "failed")
-        forget(candidates, found, *([] if before is None else [before]))
-        before, rooted = rooted, _still_open(shared, links)
-        forget(before)
+        wrong = saved(candidates.join(found, ["a", "b"], "left_anti"), "wrong")
+        before, failed = failed, wrong if failed is None else saved(failed.unionByName(wrong), "failed")
+        forget(candidates, found)
+        opened = _still_open(shared, links)
+        last, rooted = rooted, saved(_unsettled(opened.join(rooted.select("post").distinct(), "post", "left_semi"), wrong), "rooted")
+        forget(opened, last, *([] if before is None else [before, wrong]))
 
     final = components(links, "linked")
     linked = final.select(F.col("node").alias("doc_id"), "component")
