@@ -94,3 +94,21 @@ def test_only_possible_pairs_are_verified_and_settled_groups_rest(spark, monkeyp
     rooted = spark.createDataFrame([(p, d, d) for p, ds in {1: [1, 2, 3], 2: [2, 3, 4], 3: [1, 4], 4: [5, 6]}.items() for d in ds], "post long, doc_id long, root long")
     left = jaccard._unsettled(rooted, spark.createDataFrame([(2, 3), (4, 6)], "a long, b long")).collect()
     assert sorted({r.post for r in left}) == [1, 2] and len(left) == 6
+
+
+def test_only_bitmaps_are_written_and_posts_go_when_groups_are_known(spark, monkeypatch):
+    """Sets of all documents, and their posts, were most of the disk while pairs were sought."""
+    import os
+    written, plain = {}, jaccard.saved
+
+    def spy(df, name):
+        there = {n for n, t in written.items() if os.path.exists(t.scratch.removeprefix("file://"))}
+        written[name] = plain(df, name)
+        assert name == "postings" or not any(c.startswith("array") for _, c in df.dtypes), name
+        assert name != "leaders" or "postings" not in there
+        return written[name]
+
+    monkeypatch.setattr(jaccard, "saved", spy)
+    rows = list(enumerate(family(3, 40, 60, 2)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_components(rows, 5, 4, 5) and "leaders" in written

@@ -110,3 +110,16 @@ def test_nulls_clashing_columns_and_empty_table(spark, small):
     got = pieces.decode_pieces(pieces.encode_pieces(docs, small), small)
     assert sorted((str(r.doc_id), r.decoded) for r in got.collect()) == [("1", ""), ("1", ""), ("None", "ab")]
     assert pieces.encode_pieces(docs.limit(0), small).collect() == []
+
+
+def test_new_segments_are_searched_in_bounded_runs(monkeypatch, real):
+    """A search over a whole slice of new segments took some hundred MB, which the worker kept."""
+    raw = b"".join(b" w%d" % (i * 7919) for i in range(6000)) + b" " + b"x" * 5000 + b" end"
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, 0, 300, len(raw)])
+    once = pieces.PieceEncoder(real).encode_texts(data, offsets)
+    seen, plain = [], pieces.viterbi
+    monkeypatch.setattr(pieces, "SEARCH_BYTES", 4096)
+    monkeypatch.setattr(pieces, "viterbi", lambda p, d, a, b: (seen.append((int((b - a).sum()), len(a))), plain(p, d, a, b))[1])
+    ids, n = pieces.PieceEncoder(real).encode_texts(data, offsets)
+    assert len(seen) > 5 and all(size <= 4096 or count == 1 for size, count in seen)
+    assert n.tolist() == once[1].tolist() and (ids == once[0]).all()

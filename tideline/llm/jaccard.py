@@ -78,7 +78,7 @@ def shingle_postings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n (set size), d1 and d2 (digest of the set), posts (what linked sets have in common)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in W.slices(batch.column("text")):
+            for lo, hi, data, offsets in W.slices(batch.column("text"), W.SMALL_BYTES):
                 sets, bounds = _shingles(data, offsets, k)
                 sizes = np.diff(bounds)
                 scrambled = W.mix(sets)
@@ -108,12 +108,12 @@ def shingle_postings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, band, sorted set, and its bitmap of 2 * 2**q bytes."""
+    """doc_id, n, band, and a bitmap of 2 * 2**q bytes, which stands for the set until a pair needs it."""
     log_ratio = np.log(den / num * 1.001)
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in W.slices(batch.column("text")):
+            for lo, hi, data, offsets in W.slices(batch.column("text"), W.SMALL_BYTES):
                 sets, bounds = _shingles(data, offsets, k)
                 sizes = np.diff(bounds)
                 width = MAP_BYTES << _part_bits(_limits(num, den, sizes))
@@ -126,18 +126,29 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     maps.append(bits.tobytes())
                 band = np.floor(np.log(np.maximum(sizes, 1)) / log_ratio)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(lo, hi - lo), W.longs(sizes), W.longs(band),
-                    W.lists(sets.view(np.int64), bounds, pa.int64()), pa.array(maps, pa.binary()),
-                ], ["doc_id", "n", "band", "shingles", "bits"])
+                    batch.column("doc_id").slice(lo, hi - lo), W.longs(sizes), W.longs(band), pa.array(maps, pa.binary()),
+                ], ["doc_id", "n", "band", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, band long, shingles array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, band long, bits binary")
 
 
-def _of_pairs(sets: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
-    """Those columns of the sets that occur in pairs (a, b), which are written; others are not worth a shuffle."""
+def sets_of_pairs(docs: DataFrame, k: int, pairs: DataFrame) -> DataFrame:
+    """doc_id and sorted set of the documents that may occur in pairs (a, b), a written table.
+
+    Few do, so their sets are made again from the texts, which costs less than to keep those of all.
+    """
     met = id_bits(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "a")
-    return maybe_in(sets.select("doc_id", *columns), "doc_id", met)
+    held = docs.sparkSession.sparkContext.broadcast(met)
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(bits_hold(batch.column("doc_id"), held.value)))
+            for lo, hi, data, offsets in W.slices(batch.column("text"), W.SMALL_BYTES):
+                sets, bounds = _shingles(data, offsets, k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(lo, hi - lo), W.lists(sets.view(np.int64), bounds, pa.int64())], ["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -158,9 +169,10 @@ def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.select("a", "b", "nx", "ny", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b), a written table, whose sets are similar enough, by exact intersection."""
-    sets = _of_pairs(sets, pairs, "shingles")
+    sets = sets_of_pairs(docs, k, pairs)
+
     def run(batches):
         for batch in batches:
             left, right = batch.column("x"), batch.column("y")
@@ -316,7 +328,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     words count as one shingle) have intersection/union of at least num/den; a component
     is named by its smallest doc_id. Null or empty texts have no shingles and stay alone.
     Rows sharing a doc_id are one node. Rows without doc_id are returned, link with
-    nothing and have no component. Other columns are not read.
+    nothing and have no component. Other columns are not read; ``docs`` is read again for each
+    set of pairs, so it should be a table.
     """
     table = saved(shingle_postings(docs, k, num, den), "postings")
     whole = table.where("n > 0 AND doc_id IS NOT NULL")
@@ -327,18 +340,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     spread = lambda posts=None: _spread(whole, copied, posts).unionByName(_spread(once, None, posts))
     groups = saved(spread().groupBy("post").agg(F.count("*").alias("size")).where("size > 1"), "groups")
     shared = saved(spread(id_bits(groups, "post")).join(groups, "post").distinct(), "shared")
-    forget(groups)
+    before, table = table, saved(table.drop("posts"), "digests")
+    forget(groups, before)
 
     known = id_bits(shared, "doc_id")
     wanted = maybe_in(docs.select("doc_id", "text"), "doc_id", known)
-    sets = saved(shingle_sets(wanted.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), k, num, den), "sets")
+    sets = saved(shingle_sets(wanted.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), k, num, den), "maps")
     popular = shared.groupBy("doc_id").agg(F.sum("size").alias("rank"))  # the original of a family shares most
     ranks = [popular, popular.select("doc_id", F.xxhash64("doc_id").alias("rank"))]
     rooted = shared.select("post", "doc_id", F.col("doc_id").alias("root"))
     links = None
     for rank in ranks:
         pairs = saved(possible(_with_leaders(rooted.join(rank, "doc_id")), sets, num, den), "leaders")
-        near = saved(verified(pairs, sets, num, den), "near")
+        near = saved(verified(pairs, docs, k, num, den), "near")
         forget(pairs)
         before, links = links, near if links is None else saved(links.unionByName(near), "links")
         if before is not None:
@@ -354,7 +368,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
         forget(*pairs.backing)
         if candidates.isEmpty():
             break
-        found = saved(verified(candidates, sets, num, den), "found")
+        found = saved(verified(candidates, docs, k, num, den), "found")
         before, links = links, saved(links.unionByName(found), "links")
         forget(before)
         if not spanning:

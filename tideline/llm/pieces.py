@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tideline.llm import words as W
-from tideline.llm.bitplanes import CACHED, ENCODE_BYTES, SegmentEncoder
+from tideline.llm.bitplanes import CACHED, SegmentEncoder
 
 MARKER = "▁"
 PENALTY = 10.0  # below the least score, for a character spelled in bytes
+SEARCH_BYTES = 1 << 16  # new segments searched together; a longer one alone, whole
+DECODE_IDS = 1 << 16  # ids of whole texts decoded together; a longer text alone
 
 
 @dataclass
@@ -218,7 +220,14 @@ class PieceEncoder(SegmentEncoder):
         return np.flatnonzero(cut)
 
     def encode_segments(self, data, start, end):
-        return viterbi(self.pieces, data, start, end)
+        """Runs of segments one after the other: a search holds some hundred bytes for each byte."""
+        before = np.concatenate([[0], np.cumsum(end - start)])
+        found, lo = [viterbi(self.pieces, data, start[:0], end[:0])], 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + SEARCH_BYTES, "right")) - 1)
+            found.append(viterbi(self.pieces, data, start[lo:hi], end[lo:hi]))
+            lo = hi
+        return tuple(np.concatenate(part) for part in zip(*found))
 
     def encode_texts(self, data, offsets):
         """Ids of all texts and how many each has; a text that is not empty begins with a marker."""
@@ -251,7 +260,7 @@ def encode_pieces(docs: DataFrame, pieces: Pieces, text: str = "text", to: str =
         own = held.value
         encoder = W.worker_cache(f"pieces_{zlib.crc32(own.flat.tobytes() + own.score.tobytes())}", lambda: PieceEncoder(own))
         for batch in batches:
-            for lo, hi, data, offsets in W.slices(batch.column(text), ENCODE_BYTES):
+            for lo, hi, data, offsets in W.slices(batch.column(text), W.SMALL_BYTES):
                 ids, n = encoder.encode_texts(data, offsets)
                 column = W.lists(ids.view(np.int32), np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, column], schema.names)
@@ -267,12 +276,14 @@ def decode_pieces(docs: DataFrame, pieces: Pieces, ids: str = "ids", to: str = "
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                column = some.column(ids)
-                bounds = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
-                values = column.flatten().to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(batch.column(ids).value_lengths().fill_null(0).to_numpy())]).astype(np.int64)
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(before, before[lo] + DECODE_IDS, "right")) - 1)
+                some = batch.slice(lo, hi - lo)
+                values = some.column(ids).flatten().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [*some.columns, pa.array(decode_ids(held.value, values, bounds), pa.string())], schema.names)
+                    [*some.columns, pa.array(decode_ids(held.value, values, before[lo:hi + 1] - before[lo]), pa.string())], schema.names)
+                lo = hi
 
     return docs.mapInArrow(run, schema)

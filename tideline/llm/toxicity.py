@@ -71,7 +71,7 @@ def _term_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             toxic = batch.column("toxic").to_numpy()
-            for lo, hi, data, offsets in W.slices(batch.column("text")):
+            for lo, hi, data, offsets in W.slices(batch.column("text"), W.SMALL_BYTES):
                 words = W.words_of(data, offsets)
                 whole, stems = _plain_words(words)
                 for kind, terms in enumerate([whole, *stems]):
@@ -172,7 +172,7 @@ def with_features(docs: DataFrame, lexicon: list[tuple[bool, int, float]]) -> Da
 
     def run(batches):
         for batch in batches:
-            done = [_feature_rows(data, offsets, sides) for _, _, data, offsets in W.slices(batch.column("text"))]
+            done = [_feature_rows(data, offsets, sides) for _, _, data, offsets in W.slices(batch.column("text"), W.SMALL_BYTES)]
             flat = np.concatenate(done) if done else np.zeros((0, len(FEATURES)))
             bounds = np.arange(len(flat) + 1) * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, W.lists(flat.ravel(), bounds, pa.float64())], schema.names)
