@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from tideline.llm import words as W
 from tideline.llm.tables import bits_hold, components, forget, id_bits, map_groups, maybe_in, saved
+from tideline.session import shuffles_removed
 
 BLOCK = 512
 SPANNING_ROUNDS = 2
+TILE_ROWS, TILE_SHARE = 1_000_000, 4  # rows of tiles, with bitmaps, that are dealt at once: so many, or so many for each set
 MAP_BYTES = 2  # bytes of bitmap for each part: some bits for each element
 _MOST_BITS = 40
 
@@ -267,6 +269,31 @@ def tile_candidates(grouped: DataFrame, sets: DataFrame, num: int, den: int, fai
     return found
 
 
+def candidates_by_parts(rooted: DataFrame, sets: DataFrame, num: int, den: int, failed: DataFrame | None, spanning: bool) -> DataFrame:
+    """The pairs of :func:`tile_candidates` as a written table, a part of the groups after the other.
+
+    Rows of tiles may grow faster than the texts; only those of a part are on disk at a time.
+    """
+    with shuffles_removed(rooted.sparkSession):
+        n = F.col("count")
+        rows = rooted.groupBy("post").count().agg(F.sum(2 * n * F.ceil(n / BLOCK))).first()[0] or 0  # home and guests
+        parts = max(1, -(-rows // max(TILE_ROWS, TILE_SHARE * sets.count())))
+    found = []
+    for part in range(parts):
+        own = rooted if parts == 1 else rooted.where(F.pmod(F.xxhash64("post"), F.lit(parts)) == part)
+        pairs = tile_candidates(own, sets, num, den, failed, spanning)
+        found.append(saved(pairs, "candidates"))
+        forget(*pairs.backing)
+    if parts == 1:
+        return found[0]
+    whole = found[0]
+    for table in found[1:]:
+        whole = whole.unionByName(table)
+    whole = saved(whole.distinct(), "candidates")
+    forget(*found)
+    return whole
+
+
 def _spread(table: DataFrame, without: np.ndarray | None, posts: np.ndarray | None) -> DataFrame:
     """(post, doc_id) of the rows whose digest ``without`` does not hold, of posts that ``posts`` may hold."""
     skip, keep = (table.sparkSession.sparkContext.broadcast(b) for b in (without, posts))
@@ -363,9 +390,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     failed = None
     for turn in range(SPANNING_ROUNDS + 1):
         spanning = turn < SPANNING_ROUNDS
-        pairs = tile_candidates(rooted, sets, num, den, failed, spanning)
-        candidates = saved(pairs, "candidates")
-        forget(*pairs.backing)
+        candidates = candidates_by_parts(rooted, sets, num, den, failed, spanning)
         if candidates.isEmpty():
             break
         found = saved(verified(candidates, docs, k, num, den), "found")
